@@ -1,4 +1,8 @@
-"""A training corpus from documents, stage by stage."""
+"""A training corpus from documents, stage by stage.
+
+Each stage works on all that the stage before kept; its rows are written to the shared folder and read again. Rows
+without a doc_id cannot be named by an operator's result and stay.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import written
+from folioscan.llm.decontaminate import decontaminate
 from folioscan.llm.exact_dedup import exact_dedup
+from folioscan.llm.mixing import mix
 from folioscan.llm.simhash import simhash_dedup
+from folioscan.llm.toxicity import fit_on, score_toxicity
+
 
+def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in drop."""
+    return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep; rows without an id stay."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. It learns from the labels of all documents."""
+    field = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, score_toxicity(docs, field).where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts stays: the one with the largest doc_id."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    return _without(docs, exact_dedup(docs).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked SimHash fingerprints stays: the one with the smallest doc_id."""
-    return _only(docs, simhash_dedup(docs).where("doc_id = component_id"))
+    return _without(docs, simhash_dedup(docs).where("doc_id <> component_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verbatim match of a benchmark window go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: the rows of documents, as often as the mix takes them, with shard, place (their order within the shard) and copy."""
+    drawn = mix(docs).select("doc_id", "shard", "place", "copy")
+    return docs.join(drawn, "doc_id").select(*docs.columns, "shard", "place", "copy")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact", exact), ("near", near)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

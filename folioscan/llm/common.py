@@ -22,7 +22,10 @@ NO_ID = -(2**63)
 #: A-Z to a-z, and every ASCII byte that is neither a letter nor a digit to a space.
 WORDS_TABLE = bytes((b | 32) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Bytes of text that an operator holds in one go within a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+_ARROW_DEFAULT = "67108864b"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -48,7 +51,13 @@ def text_bytes(column: str = "text") -> Column:
 
 
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text binary); text is never null."""
+    """(doc_id long, text binary); text is never null.
+
+    Rows go to Python in batches of a few MB, whatever the length of a text, unless the session sets a size itself.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        conf.set(key, f"{BATCH_BYTES}b")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
 
 
