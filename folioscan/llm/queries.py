@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm.decontaminate import decontaminate
 from folioscan.llm.exact_dedup import exact_dedup
+from folioscan.llm.licenses import license_scan
 from folioscan.llm.mixing import mixing_report
+from folioscan.llm.quality import quality
 from folioscan.llm.simhash import simhash_dedup
 from folioscan.llm.toxicity import toxicity
 
@@ -21,6 +23,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(_table(spark, sf_dir, "documents")).drop("shards")
 
