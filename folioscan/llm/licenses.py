@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import WORDS_TABLE, chunks, doc_rows
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 BLOCK_WORDS = 64
 
 # Phrases of the base scan, and templates of common license notices with their labels.

@@ -12,6 +12,7 @@ from folioscan.llm.licenses import license_scan
 from folioscan.llm.mixing import mixing_report
 from folioscan.llm.quality import quality
 from folioscan.llm.simhash import simhash_dedup
+from folioscan.llm.suffix_dedup import suffix_dedup
 from folioscan.llm.toxicity import toxicity
 
 
@@ -27,6 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
