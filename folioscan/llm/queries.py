@@ -10,6 +10,7 @@ from folioscan.llm.decontaminate import decontaminate
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.licenses import license_scan
 from folioscan.llm.mixing import mixing_report
+from folioscan.llm.pii import pii_report
 from folioscan.llm.quality import quality
 from folioscan.llm.simhash import simhash_dedup
 from folioscan.llm.suffix_dedup import suffix_dedup
@@ -52,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
