@@ -1,7 +1,7 @@
 """A training corpus from documents, stage by stage.
 
-Each stage works on all that the stage before kept; its rows are written to the shared folder and read again. Rows
-without a doc_id cannot be named by an operator's result and stay.
+Each stage works on all that the stage before kept; its rows are written to the shared folder and read again. Where a
+stage drops by doc_id, rows without one stay; rows of one doc_id share their fate.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import written
+from folioscan.llm.common import NO_ID, written
 from folioscan.llm.decontaminate import decontaminate
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.mixing import mix
@@ -31,8 +31,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts stays: the one with the largest doc_id."""
-    return _without(docs, exact_dedup(docs).where("not kept"))
+    """One document of each set of equal texts stays: the one with the largest doc_id; of rows equal in id and text, one."""
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")]
+    kept = exact_dedup(docs).where("kept").select(key[0], F.col("text_sha256").alias("sha"))
+    return docs.select("*", *key).join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscan.llm.decontaminate import decontaminate
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.licenses import license_scan
+from folioscan.llm.lm_score import lm_score
 from folioscan.llm.mixing import mixing_report
 from folioscan.llm.pii import pii_report
 from folioscan.llm.quality import quality
@@ -29,6 +30,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
