@@ -29,6 +29,20 @@ def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
     return at * 64 + position.astype(np.int64)
 
 
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The values side by side, bits each, in 64-bit words."""
+    n = len(values)
+    words = np.zeros((n * bits + 63) // 64 + 2, np.uint64)
+    if bits and n:
+        offset = np.arange(n, dtype=np.int64) * bits
+        at, shift = offset >> 6, (offset & 63).astype(np.uint64)
+        heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        words[at[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+        over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))
+        words[at[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return words
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high parts in unary, about 2 + log2(range / length) bits each."""
 
@@ -37,10 +51,10 @@ class EliasFano:
         keep = keep or (lambda a: a)
         values = values.astype(np.uint64)
         self.n = n = len(values)
-        top = int(values[-1]) if n else 0
-        self.low_bits = l = max(0, (top // max(1, n)).bit_length() - 1)
+        self.top = top = int(values[-1]) if n else -1
+        self.low_bits = l = max(0, (max(0, top) // max(1, n)).bit_length() - 1)
         ones = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        length = (top >> l) + n + 1
+        length = (max(0, top) >> l) + n + 1
         bits = np.zeros((length + 63) // 64 * 64, np.uint8)
         bits[ones] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
@@ -48,23 +62,16 @@ class EliasFano:
         self.high = keep(words)
         self.ones_before = keep(np.cumsum(counts) - counts)
         self.zeros_before = keep(np.cumsum(64 - counts) - (64 - counts))
-        if l:
-            low = (values & np.uint64((1 << l) - 1)).astype("<u8").view(np.uint8).reshape(n, 8)
-            packed = np.packbits(np.unpackbits(low, axis=1, bitorder="little")[:, :l].ravel(), bitorder="little")
-        else:
-            packed = np.empty(0, np.uint8)
-        self.low = keep(np.append(packed, np.zeros(16, np.uint8)))
+        self.low = keep(_packed(values & np.uint64((1 << l) - 1), l))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         l = self.low_bits
         if not l:
             return np.zeros(len(i), np.uint64)
         bit = i * l
-        at, shift = bit >> 3, (bit & 7).astype(np.uint64)
-        view = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
-        value = view[at] >> shift
-        if l > 57:
-            value |= np.where(shift > 0, self.low[at + 8].astype(np.uint64) << (np.uint64(64) - shift), 0)
+        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        # Two shifts, so that a shift by 64 cannot occur.
+        value = (self.low[at] >> shift) | ((self.low[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
         return value & np.uint64((1 << l) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
@@ -75,25 +82,36 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, value) of the first element at or above each x; index n and value -1 if there is none.
 
-        The high part of x leads to the elements that share it; among those the low parts decide.
+        The high part of x leads to the elements that share it; a binary search among their low parts decides.
         """
         x = np.asarray(x, np.int64)
-        if not self.n:
-            return np.zeros(len(x), np.int64), np.full(len(x), -1)
-        top = int(self[np.array([self.n - 1])][0])
-        index = np.full(len(x), self.n, np.int64)
-        going = np.flatnonzero(x <= top)
-        high = x[going] >> self.low_bits
-        start = np.zeros(len(going), np.int64)
-        inner = high > 0
-        start[inner] = _select(~self.high, self.zeros_before, high[inner] - 1) + 1 - high[inner]
-        index[going] = start
-        value = np.full(len(x), -1, np.int64)
+        index, value = np.full(len(x), self.n, np.int64), np.full(len(x), -1, np.int64)
+        asked = np.flatnonzero(x <= self.top)
+        if not len(asked):
+            return index, value
+        high, low = x[asked] >> self.low_bits, (x[asked] & ((1 << self.low_bits) - 1)).astype(np.uint64)
+        # Runs of one high part are looked up once.
+        head = np.append(True, high[1:] != high[:-1])
+        own = high[head]
+        bound = np.zeros((2, len(own)), np.int64)
+        inner = own > 0
+        bound[0, inner] = _select(~self.high, self.zeros_before, own[inner] - 1) + 1 - own[inner]
+        bound[1] = _select(~self.high, self.zeros_before, own) - own
+        run = np.cumsum(head) - 1
+        first, last = bound[0][run], bound[1][run]
+        end = last.copy()
+        going = np.flatnonzero(first < last)
         while len(going):
-            found = self[index[going]]
-            value[going] = found
-            going = going[found < x[going]]
-            index[going] += 1
+            mid = (first[going] + last[going]) >> 1
+            below = self._low(mid) < low[going]
+            first[going[below]] = mid[below] + 1
+            last[going[~below]] = mid[~below]
+            going = going[first[going] < last[going]]
+        index[asked] = first
+        inside = first < end
+        value[asked[inside]] = (high[inside] << self.low_bits) | self._low(first[inside]).astype(np.int64)
+        beyond = asked[~inside]
+        value[beyond] = self[index[beyond]]
         return index, value
 
 
@@ -143,18 +161,22 @@ class Trie:
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code of the word's probability after the context, code of the context's backoff); 0 where there is none."""
         p, b = np.zeros(len(context), np.uint16), np.zeros(len(context), np.uint16)
-        at, value = self.contexts.successor(context)
-        known = np.flatnonzero(value == context)
-        at = at[known]
+        head = np.append(True, context[1:] != context[:-1]) if len(context) else np.empty(0, bool)
+        run = np.cumsum(head) - 1
+        at, value = self.contexts.successor(context[head])
+        known = np.flatnonzero((value == context[head])[run])
+        begin, end = (np.zeros(len(at), np.int64) for _ in range(2))
+        found = np.flatnonzero(value == context[head])
+        begin[found], end[found] = self.pointers[at[found]], self.pointers[at[found] + 1]
+        begin, end, at = begin[run[known]], end[run[known]], at[run[known]]
         b[known] = self.backoff[at]
         sought = self.first[at] + word[known]
         index, value = self.successors.successor(sought)
-        hit = (value == sought) & (index >= self.pointers[at]) & (index < self.pointers[at + 1])
+        hit = (value == sought) & (index >= begin) & (index < end)
         # Where one context's last value equals the next one's first, the search stops at the earlier of the two.
-        late = np.flatnonzero((value == sought) & (index < self.pointers[at]))
+        late = np.flatnonzero((value == sought) & (index < begin))
         if len(late):
-            begin = self.pointers[at[late]]
-            same = self.successors[np.minimum(begin, self.successors.n - 1)] == sought[late]
-            index[late[same]], hit[late[same]] = begin[same], True
+            same = self.successors[np.minimum(begin[late], self.successors.n - 1)] == sought[late]
+            index[late[same]], hit[late[same]] = begin[late[same]], True
         p[known[hit]] = self.probability[index[hit]]
         return p, b

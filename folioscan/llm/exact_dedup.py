@@ -106,7 +106,7 @@ def _named_pairs(state: DataFrame) -> DataFrame:
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("a", "b"))
     names = written(pairs.select("bucket", "a", "b").distinct().select("a", "b", (rank.cast("long") * BUCKETS + F.col("bucket")).alias("name")))
     up = F.floor((F.col("n") + 1) / 2).cast("int")
-    return written(pairs.join(names, ["a", "b"]).select("batch", "uid", F.col("up").cast("long").alias("at"), "name", up.alias("n")))
+    return pairs.join(names, ["a", "b"]).select("batch", "uid", F.col("up").cast("long").alias("at"), "name", up.alias("n"))
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

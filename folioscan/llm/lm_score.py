@@ -18,13 +18,15 @@ is scored. Empty table: no rows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import chunks, doc_rows, total
+from folioscan.llm.common import doc_rows
 from folioscan.llm.eliasfano import Trie
 from folioscan.llm.hashing import xxh64
 
@@ -52,23 +54,19 @@ class Bucket:
 
     def __init__(self, texts: list[bytes]):
         split = [t.lower().split() for t in texts]
-        number: dict[bytes, int] = {_END: 0}
-        for s in split:
-            for w in s:
-                if w not in number:
-                    number[w] = len(number)
-        words = list(number)
-        sizes = np.array([len(w) for w in words], np.int64)
+        flat = list(chain.from_iterable(split))
+        words = [_END, *dict.fromkeys(flat)]
+        number = dict(zip(words, range(len(words))))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         hashes = xxh64(b"\n".join(words), ends - sizes, ends, 42)
         self.hashes, place = np.unique(hashes, return_inverse=True)
-        self.counts = np.array([len(s) + 1 for s in split], np.int64)
+        self.counts = np.fromiter(map(len, split), np.int64, len(split)) + 1
         self.last = np.cumsum(self.counts) - 1
-        flat = np.zeros(int(self.counts.sum()), np.int64)
-        inner = np.ones(len(flat), bool)
+        inner = np.ones(int(self.counts.sum()), bool)
         inner[self.last] = False
-        flat[inner] = np.fromiter((number[w] for s in split for w in s), np.int64, int(inner.sum()))
-        self.tokens = place[flat]
+        self.tokens = np.full(len(inner), place[0])
+        self.tokens[inner] = place[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))]
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,13 +93,13 @@ def _texts(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
 
 
 _WORDS = {"p": pa.int32(), "g": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
-_NUMBERS = {"g": pa.int32(), "p": pa.int32(), "numbers": pa.binary(), "counts": pa.binary()}
-_PAIRS = {"kind": pa.int32(), "target": pa.int32(), "g": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-_CODES = {"kind": pa.int32(), "g": pa.int32(), "source": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+_NUMBERS = {"g": pa.int32(), "p": pa.int32(), "known": pa.int64(), "numbers": pa.binary(), "counts": pa.binary()}
+_PAIRS = {"kind": pa.int32(), "target": pa.int32(), "g": pa.int32(), "known": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+_CODES = {"kind": pa.int32(), "g": pa.int32(), "source": pa.int32(), "known": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 
 
 def _ddl(schema: dict[str, pa.DataType]) -> str:
-    names = {pa.int32(): "int", pa.binary(): "binary"}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
     return ", ".join(f"{k} {names[t]}" for k, t in schema.items())
 
 
@@ -125,7 +123,7 @@ def _number_words(shards: int):
         known = counts > 0
         numbers = np.where(known, FIRST + (np.cumsum(known) - 1) * shards + p, UNKNOWN)
         edges = np.cumsum([0] + [len(h) for h in hashes])
-        return _table(_NUMBERS, [(own, p, pack(numbers[place[a:b]]), pack(counts[place[a:b]])) for own, a, b in zip(g, edges[:-1].tolist(), edges[1:].tolist())])
+        return _table(_NUMBERS, [(own, p, int(known.sum()), pack(numbers[place[a:b]]), pack(counts[place[a:b]])) for own, a, b in zip(g, edges[:-1].tolist(), edges[1:].tolist())])
 
     return run
 
@@ -158,8 +156,10 @@ def _send_pairs(word_shards: int, shards: int):
         before, word, which = bucket.pairs()
         seen = np.bincount(which[learn[bucket.doc]], minlength=len(before))
         first = np.where(before < 0, START, numbers[before])
-        rows = [(0, g, g, pack(counts), None, None)]
-        rows += [(1, s, g, pack(first[i]), pack(numbers[word[i]]), pack(seen[i])) for s, i in _contexts(bucket, before, counts > 0, shards)]
+        # Words are spread over their shards evenly, so those that answered tell how many words there are; all of them, exactly.
+        vocabulary = round(sum(answers.column("known").to_pylist()) * word_shards / len(p))
+        rows = [(0, g, g, vocabulary, pack(counts), None, None)]
+        rows += [(1, s, g, 0, pack(first[i]), pack(numbers[word[i]]), pack(seen[i])) for s, i in _contexts(bucket, before, counts > 0, shards)]
         return _table(_PAIRS, rows)
 
     return run
@@ -179,7 +179,7 @@ def _answer_pairs(discount: float):
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g").to_pylist()
         if not table.column("kind")[0].as_py():
-            return _table(_CODES, [(0, own, 0, a, None) for own, a in zip(g, table.column("a").to_pylist())])
+            return _table(_CODES, [(0, own, 0, v, a, None) for own, v, a in zip(g, table.column("known").to_pylist(), table.column("a").to_pylist())])
         s = table.column("target")[0].as_py()
         contexts, words, counts = ([unpack(b) for b in table.column(k).to_pylist()] for k in ("a", "b", "c"))
         edges = np.cumsum([0] + [len(c) for c in contexts])
@@ -193,17 +193,18 @@ def _answer_pairs(discount: float):
         count = np.bincount(place, count, len(context)).astype(np.int64)
         seen = (count > 0) & (word != UNKNOWN)
         p, b = build_trie(context[seen], word[seen], count[seen], discount).find(context, word)
-        return _table(_CODES, [(1, own, s, pack(p[place[i:j]]), pack(b[place[i:j]])) for own, i, j in zip(g, edges[:-1].tolist(), edges[1:].tolist())])
+        return _table(_CODES, [(1, own, s, 0, pack(p[place[i:j]]), pack(b[place[i:j]])) for own, i, j in zip(g, edges[:-1].tolist(), edges[1:].tolist())])
 
     return run
 
 
-def _score(shards: int, train_tokens: int, vocabulary: int):
+def _score(shards: int, train_tokens: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         table, texts, learn = _texts(docs)
         bucket = Bucket(texts)
         kind, source, a, b = (answers.column(k).to_pylist() for k in ("kind", "source", "a", "b"))
         counts = unpack(a[kind.index(0)])
+        vocabulary = answers.column("known")[kind.index(0)].as_py()
         unigram = (counts + 0.5) / (train_tokens + 0.5 * (vocabulary + 1))
         before, word, which = bucket.pairs()
         p, weight = np.zeros(len(before)), np.ones(len(before))
@@ -221,8 +222,7 @@ def _score(shards: int, train_tokens: int, vocabulary: int):
             "held_out": pa.array(~learn),
             "n_tokens": pa.array(bucket.counts),
             "n_known": pa.array(sums(token_counts > 0).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, train_tokens, np.int64)),
-            "base_score": pa.array(sums(np.log10(unigram)[bucket.tokens])),
+            "counts_score": pa.array(sums(np.log10(counts + 0.5)[bucket.tokens])),
             "score": pa.array(sums(pair[which])),
         }
         return pa.table(out)
@@ -230,25 +230,6 @@ def _score(shards: int, train_tokens: int, vocabulary: int):
     return run
 
 
-def _totals(rows: DataFrame, shards: int) -> tuple[int, int]:
-    """(N, V): how many tokens, and how many different ones, the texts to learn from hold."""
-
-    def send(batches):
-        for batch in batches:
-            own = batch.filter(batch.column("learn"))
-            for c in chunks(own, limit=BUCKET_BYTES) if own.num_rows else ():
-                bucket = Bucket(c.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*((p, bucket.hashes[i].tobytes(), n if not k else 0) for n in [len(bucket.tokens)] for k, (p, i) in enumerate(_split((bucket.hashes % np.uint64(shards)).astype(np.int64))))), (pa.int32(), pa.binary(), pa.int64()))], names=["p", "hashes", "n"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "v": pa.array([len(np.unique(hashes))], pa.int64())})
-
-    sent = rows.select("text", "learn").mapInArrow(send, "p int, hashes binary, n long")
-    r = sent.groupBy("p").applyInArrow(meet, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return r[0], r[1]
-
-
 def lm_score(docs: DataFrame, folds: int = 5, held_out: int = 1, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
@@ -256,14 +237,19 @@ def lm_score(docs: DataFrame, folds: int = 5, held_out: int = 1, bucket_bytes: i
     the smoothed unigram probability; score: log10 of the bigram model's.
     """
     rows = doc_rows(docs, id_col, text_col)
-    size = total(rows, F.octet_length("text"))
-    buckets, shards = size // bucket_bytes + 1, size // shard_bytes + 1
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out, F.lit(True))
+    n_words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]++"))
+    totals = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(learn, n_words + 1)), F.lit(0))).first()
+    size, train_tokens = int(totals[0]), int(totals[1])
+    buckets, shards = size // bucket_bytes + 1, size // shard_bytes + 1
     rows = rows.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("g"), learn.alias("learn"))
-    train_tokens, vocabulary = _totals(rows, shards)
     words = rows.groupBy("g").applyInArrow(_send_words(shards), _ddl(_WORDS))
     numbers = words.groupBy("p").applyInArrow(_number_words(shards), _ddl(_NUMBERS))
     pairs = rows.groupBy("g").cogroup(numbers.groupBy("g")).applyInArrow(_send_pairs(shards, shards), _ddl(_PAIRS))
     codes = pairs.groupBy("kind", "target").applyInArrow(_answer_pairs(discount), _ddl(_CODES))
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_score(shards, train_tokens, vocabulary), result)
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, counts_score double, score double"
+    scored = rows.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_score(shards, train_tokens), result)
+    vocabulary = numbers.select("p", "known").distinct().agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"))
+    base = F.col("counts_score") - F.col("n_tokens") * F.log10(train_tokens + (F.col("v") + 1) * 0.5)
+    # One row of one number on the right.
+    return scored.join(F.broadcast(vocabulary)).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

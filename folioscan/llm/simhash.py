@@ -209,8 +209,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        low = written(large.groupBy("a").agg(F.min("b").alias("low")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         small = written(small)
         # Every node hangs directly below a root that hangs below nothing: the components are stars.
@@ -225,9 +225,8 @@ def simhash_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHIN
     """(doc_id, fingerprint 16 hex digits, component_id: smallest doc_id reachable over links of up to distance bits)."""
     rows = written(fingerprints(docs, shingle, id_col, text_col))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    fps = written(fps)
     roots = components(links(fps.select("fp"), distance))
-    labelled = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = written(labelled.join(least, "root").select("fp", "component_id"))
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
