@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +23,10 @@ class Corpus:
     line_map: DataFrame | None = None
 
 
+#: A check of one's own: a function from a corpus to findings with the columns checks.FINDING.
+Checker = Callable[[Corpus], DataFrame]
+
+
 def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_paths: list[str] | None = None) -> Corpus:
     """Reads the sources below a folder, puts included files in place, and finds each document's bibliography.
 
@@ -44,8 +49,8 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
     return Corpus(docs, entries, listing, lines)
 
 
-def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lookup | None = None, search: lookups.Lookup | str = "semantic-scholar", skip_grammar: bool = False, skip_reviewer: bool = False, enable_claims: bool = False) -> DataFrame:
-    """The findings of all documents. Without a model no language model is asked, without verify no reference is looked up."""
+def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lookup | None = None, search: lookups.Lookup | str = "semantic-scholar", skip_grammar: bool = False, skip_reviewer: bool = False, enable_claims: bool = False, extra: Sequence[Checker] = ()) -> DataFrame:
+    """The findings of all documents. Without a model no language model is asked, without verify no reference is looked up. extra adds checks of one's own."""
     docs, entries = corpus.docs, corpus.entries
     parts = [checks.artifacts(docs), checks.figures(docs), checks.images(docs, corpus.files), checks.citations(docs, entries)]
     if verify is not None:
@@ -63,4 +68,5 @@ def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lo
             titled = replies.claim_titles(replies.claims(units, model(replies.claim_requests(units))), entries)
             units = replies.judge_units(titled, lookups.papers(replies.paper_questions(titled), search))
             parts.append(replies.claim_findings(units, model(replies.judge_requests(units))))
+    parts += [own(corpus) for own in extra]
     return report.numbered(reduce(DataFrame.unionByName, parts))

