@@ -74,7 +74,7 @@ def _batch_namer(block_bytes: int):
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, texts): rows(batch, uid, doc_id, sha, leads), and for each distinct text of a batch its identity (level, name)."""
-    local = written(doc_rows(docs, id_col, text_col).mapInArrow(_batch_namer(block_bytes), _LOCAL), "kind")
+    local = written(doc_rows(docs, id_col, text_col).mapInArrow(_batch_namer(block_bytes), _LOCAL))
     rows = local.where("kind = 'row'").select("batch", "uid", "doc_id", "sha", "leads")
     texts = local.where("kind = 'text'").select("batch", "uid", "copies", "top", "locals")
 
