@@ -11,8 +11,10 @@ turns up in no other run has no repeat and is never sent. The hash only decides
 
 Scale. Documents are dealt to buckets of about BUCKET_BYTES by a hash of their id (one exchange of the texts, read three
 times). A bucket sends each hash value once, and each distinct run once, whatever the number of copies it holds: a
-passage that a third of all documents share is a row per bucket, not per document. Answers go back to buckets as lists
-of places. A task holds one bucket or one shard of runs.
+passage that a third of all documents share is a row per bucket, not per document. Where such a passage begins and ends,
+though, runs differ from document to document and still have one hash value: the windows of values with HOT_RUNS runs or
+more are therefore dealt out by a hash of their own bytes. Answers go back to buckets as lists of places. A task holds
+one bucket or one shard of runs; both sizes are parameters, to be raised with the executors' memory.
 
 Cases. Null or empty text, or one below LENGTH bytes: nothing is removed. Null doc_id: before all others. Rows that share
 a doc_id: documents of their own, in the order of their texts; of equal rows one stays whole. Empty table: no rows.
@@ -28,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import NO_ID, binary, doc_rows, total
+from folioscan.llm.hashing import xxh64
 
 LENGTH = 100
 GRAM = 32
 BUCKET_BYTES = 4 << 20
 #: Documents' bytes for each shard in which runs meet.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+#: Runs of one hash value from which its windows are dealt out one by one, by their own content.
+HOT_RUNS = 100_000
 _SLICE = 1 << 16
 
 _rng = np.random.default_rng(20240517)
@@ -146,25 +151,44 @@ def _send_values(shards: int, length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
         _, _, data, starts, ends = _bucket(table)
-        values = np.unique(runs(data, starts, ends, length, gram)[0])
+        values, times = np.unique(runs(data, starts, ends, length, gram)[0], return_counts=True)
+        times = np.minimum(times, 65_535).astype(np.uint16)
         parts = _by_target((values % np.uint64(shards)).astype(np.int64))
-        return pa.table({"p": pa.array([p for p, _ in parts], pa.int32()), "g": pa.array([g] * len(parts), pa.int32()), "vals": pa.array([binary(values[i]) for _, i in parts], pa.binary())})
+        blobs = lambda a: pa.array([binary(a[i]) for _, i in parts], pa.binary())
+        return pa.table({"p": pa.array([p for p, _ in parts], pa.int32()), "g": pa.array([g] * len(parts), pa.int32()), "vals": blobs(values), "times": blobs(times)})
 
     return run
 
 
-def _shared_values(table: pa.Table) -> pa.Table:
-    """Answers each bucket with those of its values that another bucket has too."""
-    blobs = table.column("vals").to_pylist()
-    values = _numbers(blobs, np.uint64)
-    of = np.repeat(np.array(table.column("g").to_pylist(), np.int64), [len(b) // 8 for b in blobs])
-    order = np.argsort(values, kind="stable")
-    values, of = values[order], of[order]
-    same = values[1:] == values[:-1]
-    shared = np.append(same, False) | np.append(False, same) if len(values) else np.empty(0, bool)
-    parts = _by_target(of[shared])
-    values = values[shared]
-    return pa.table({"g": pa.array([g for g, _ in parts], pa.int32()), "vals": pa.array([binary(values[i]) for _, i in parts], pa.binary())})
+def _shared_values(hot_runs: int):
+    """Answers each bucket with those of its values that another bucket has too, and whether they are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("vals").to_pylist()
+        values, times = _numbers(blobs, np.uint64), _numbers(table.column("times").to_pylist(), np.uint16)
+        of = np.repeat(np.array(table.column("g").to_pylist(), np.int64), [len(b) // 8 for b in blobs])
+        order = np.argsort(values, kind="stable")
+        values, of, times = values[order], of[order], times[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(heads, len(values)))
+        shared = np.repeat(sizes > 1, sizes)
+        hot = np.repeat(np.add.reduceat(times, heads) >= hot_runs, sizes) if len(heads) else shared
+        values, hot = values[shared], hot[shared]
+        parts = _by_target(of[shared])
+        blobs_of = lambda a: pa.array([binary(a[i]) for _, i in parts], pa.binary())
+        return pa.table({"g": pa.array([g for g, _ in parts], pa.int32()), "vals": blobs_of(values), "hot": blobs_of(hot)})
+
+    return run
+
+
+def _windows(contents: list[bytes], at: np.ndarray, count: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The windows of some runs as runs of one window: (content, place, hash of the content)."""
+    out, places = [], []
+    for content, a, k in zip(contents, at.tolist(), count.tolist()):
+        out += [content[j : j + length] for j in range(k)]
+        places += range(a, a + k)
+    ends = np.arange(1, len(out) + 1) * length
+    return out, np.array(places, np.int64), xxh64(b"".join(out), ends - length, ends)
 
 
 def _send_runs(shards: int, length: int, gram: int):
@@ -174,7 +198,8 @@ def _send_runs(shards: int, length: int, gram: int):
         g = docs.column("g")[0].as_py()
         ids, texts, data, starts, ends = _bucket(docs)
         values, at, count, itself = runs(data, starts, ends, length, gram)
-        shared = np.unique(_numbers(answers.column("vals").to_pylist(), np.uint64))
+        shared, hot = _numbers(answers.column("vals").to_pylist(), np.uint64), _numbers(answers.column("hot").to_pylist(), bool)
+        hot = shared[hot]
         _, number, times = np.unique(values, return_inverse=True, return_counts=True)
         meets = np.isin(values, shared) if len(shared) else np.zeros(len(values), bool)
         again = (times[number] > 1) | itself
@@ -201,11 +226,18 @@ def _send_runs(shards: int, length: int, gram: int):
         if repeats:
             i = np.array(repeats)
             add(0, g, np.stack([doc[i], at[i] - starts[doc[i]], count[i]], 1), None)
-        if sent:
-            i = np.array(sent)
-            for p, own in _by_target((values[i] % np.uint64(shards)).astype(np.int64)):
-                j = i[own]
-                add(1, p, np.stack([ids[doc[j]], doc[j], at[j] - starts[doc[j]], count[j], values[j].view(np.int64), itself[j]], 1), b"".join(contents[o] for o in own.tolist()))
+        i = np.array(sent, np.int64)
+        sends = [(at[i], count[i], values[i], itself[i], contents)]
+        split = np.isin(values[i], hot) if len(hot) else np.zeros(len(i), bool)
+        if split.any():
+            whole, parts = np.flatnonzero(~split), np.flatnonzero(split)
+            pieces, place, own_hash = _windows([contents[k] for k in parts.tolist()], at[i[parts]], count[i[parts]], length)
+            sends = [(at[i[whole]], count[i[whole]], values[i[whole]], itself[i[whole]], [contents[k] for k in whole.tolist()]), (place, np.ones(len(place), np.int64), own_hash, np.zeros(len(place), bool), pieces)]
+        for place, windows, value, again, texts_of in sends:
+            of = np.searchsorted(starts, place, "right") - 1
+            for p, own in _by_target((value % np.uint64(shards)).astype(np.int64)):
+                meta = np.stack([ids[of[own]], of[own], place[own] - starts[of[own]], windows[own], value[own].view(np.int64), again[own]], 1)
+                add(1, p, meta, b"".join(texts_of[o] for o in own.tolist()))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types)})
 
@@ -295,7 +327,7 @@ def _remove(length: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and kept (the bytes that stay) if asked for; one row per row of docs."""
     if gram & (gram - 1) or gram > length:
         raise ValueError("gram must be a power of two of at most length")
@@ -303,8 +335,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     size = total(rows, F.octet_length("text"))
     buckets, shards = size // bucket_bytes + 1, size // shard_bytes + 1
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    values = rows.groupBy("g").applyInArrow(_send_values(shards, length, gram), "p int, g int, vals binary")
-    shared = values.groupBy("p").applyInArrow(_shared_values, "g int, vals binary")
+    values = rows.groupBy("g").applyInArrow(_send_values(shards, length, gram), "p int, g int, vals binary, times binary")
+    shared = values.groupBy("p").applyInArrow(_shared_values(hot_runs), "g int, vals binary, hot binary")
     sent = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send_runs(shards, length, gram), "kind int, target int, g int, meta binary, content binary")
     found = sent.groupBy("kind", "target").applyInArrow(_meet(length), "g int, meta binary")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

@@ -30,8 +30,9 @@ def test_against_brute_force(spark, length, gram):
     rows = [(random.choice([i, i, i, 7, None]), random.choice(["".join(part() for _ in range(random.randrange(6))), None])) for i in range(90)]
     rows += [rows[0], rows[0], (1000, base[0] * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS g", "text AS meta").repartition(3)
-    got = s.suffix_dedup(df, length, gram, bucket_bytes=2000, shard_bytes=3000, with_text=True).collect()
-    assert sorted((NO_ID if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute(rows, length)
+    for hot in (s.HOT_RUNS, 2):
+        got = s.suffix_dedup(df, length, gram, bucket_bytes=2000, shard_bytes=3000, hot_runs=hot, with_text=True).collect()
+        assert sorted((NO_ID if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute(rows, length)
 
 
 def test_refinement_sorts_suffixes():
