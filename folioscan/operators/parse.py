@@ -94,9 +94,10 @@ def _keys(c: Column) -> Column:
 
 def citations(docs: DataFrame, source: str = "source") -> DataFrame:
     """(doc_path, cite_idx, key, line): every cited key outside comments; all keys of a command have its line."""
-    found = t.occurrences(t.strip_comments(F.coalesce(F.col(source), F.lit(""))), CITE, 1)
-    keys = F.flatten(F.transform(found, lambda m: F.transform(_keys(m["g1"]), lambda k: F.struct(k.alias("key"), m["line"].alias("line")))))
-    out = docs.where(F.contains(F.col(source), F.lit("cite"))).select("doc_path", F.posexplode(keys).alias("cite_idx", "c"))
+    rows = docs.where(F.contains(F.col(source), F.lit("cite"))).select("doc_path", t.strip_comments(F.col(source)).alias("plain"))
+    rows = rows.withColumn("found", t.occurrences(F.col("plain"), CITE, 1))
+    keys = F.flatten(F.transform("found", lambda m: F.transform(_keys(m["g1"]), lambda k: F.struct(k.alias("key"), m["line"].alias("line")))))
+    out = rows.select("doc_path", F.posexplode(keys).alias("cite_idx", "c"))
     return out.select("doc_path", "cite_idx", "c.key", "c.line")
 
 
