@@ -95,6 +95,7 @@ placed AS (SELECT t.doc_path, list_append(t.ord, f.line) AS ord, f.text, f.path
   UNION ALL SELECT doc_path, ord, '% folioscan: could not read ' || path, path, 1 FROM tree WHERE path NOT IN (SELECT path FROM files)
   UNION ALL SELECT t.doc_path, list_append(t.ord, e.line), '% folioscan: cycle, not expanded: ' || e.child, e.child, 1 FROM tree t JOIN edges e ON t.path = e.parent WHERE list_contains(t.stack, e.child)),
 expanded AS (SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY ord) AS combined_line, text, origin_file, origin_line FROM placed)"""
+ALL_INCLUDES = INCLUDES.replace(" WHERE path IN ('p0.tex', 'p3.tex')", "")  # every file is a root
 PAPERS = f"""hits AS ({d.PAPER_HITS}), papers AS (SELECT query, {strip('title')} AS title, CAST(year AS BIGINT) AS year, {strip('abstract')} AS abstract, coalesce(nullif(url, ''), arxiv) AS url FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY (lower({strip('title')}) = lower({strip('query')})) DESC, hit_rank) AS n FROM hits) x WHERE n = 1 AND title <> '')"""
 _NONE = "CAST(NULL AS VARCHAR)"

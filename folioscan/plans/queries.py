@@ -237,6 +237,25 @@ def line_origin(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(_includes(spark, sf).select("doc_path", "combined_line", "origin_file", "origin_line"))
 
 
+def _all_includes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page is a root. The number of places grows with the square of the pages (3 million at sf0.1), so Spark's limit on a recursion's rows is lifted."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    sources = d.relation(spark, sf, d.INCLUDE_FILES)
+    return files.expand_includes(sources, sources.selectExpr("path AS doc_path"))
+
+
+@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
+def include_expand_all(spark: SparkSession, sf: str) -> DataFrame:
+    """include_expand with every page as a root."""
+    return _longs(_all_includes(spark, sf).select("doc_path", "combined_line", "text"))
+
+
+@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
+def line_origin_all(spark: SparkSession, sf: str) -> DataFrame:
+    """line_origin with every page as a root."""
+    return _longs(_all_includes(spark, sf).select("doc_path", "combined_line", "origin_file", "origin_line"))
+
+
 @query(f"WITH {o.TEX}, {o.GRAPHICS}, listing AS ({o.duck(d.IMAGE_FILES)}) SELECT doc_path, 'images' AS checker, 'error' AS severity, line, 'Image file not found: ''' || raw_path || '''' AS message, raw_path AS excerpt, CAST(NULL AS VARCHAR) AS file FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing)")
 def missing_images(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(checks.images(_docs(spark, sf), d.relation(spark, sf, d.IMAGE_FILES)))
