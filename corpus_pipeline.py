@@ -1,7 +1,8 @@
 """A training corpus from documents, stage by stage.
 
-Each stage works on all that the stage before kept; its rows are written to the shared folder and read again. Where a
-stage drops by doc_id, rows without one stay; rows of one doc_id share their fate.
+Each stage works on all that the stage before kept; its rows are written to the shared folder and read again. Within a
+stage every row has a number of its own, by which the operators name it: whether a row stays depends on its own text,
+also where its doc_id is null or stands on several rows.
 """
 
 from __future__ import annotations
@@ -19,15 +20,25 @@ from folioscan.llm.simhash import simhash_dedup
 from folioscan.llm.toxicity import fit_on, score_toxicity
 
 
-def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in drop."""
-    return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: The column with a row's number within a stage.
+ROW = "pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a different number on every row, written, so that every later read finds the same numbers."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows whose number is not in drop, where operators return it as doc_id; without the number."""
+    return rows.join(drop.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from the labels of all documents."""
     field = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, score_toxicity(docs, field).where("predicted = 1"))
+    rows = _numbered(docs)
+    return _without(rows, score_toxicity(rows, field, id_col=ROW).where("predicted = 1")).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +49,27 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints stays: the one with the smallest doc_id."""
-    return _without(docs, simhash_dedup(docs).where("doc_id <> component_id"))
+    """One row of each group of linked SimHash fingerprints stays: the one with the smallest doc_id, null after all others; of equal ids one."""
+    rows = _numbered(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), ROW)
+    groups = simhash_dedup(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = rows.select(ROW, order.alias("order")).join(groups, ROW).groupBy("component_id").agg(F.min("order").alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verbatim match of a benchmark window go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"))
+    rows = _numbered(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return _without(rows, found.where("contaminated")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: the rows of documents, as often as the mix takes them, with shard, place (their order within the shard) and copy."""
-    drawn = mix(docs).select("doc_id", "shard", "place", "copy")
-    return docs.join(drawn, "doc_id").select(*docs.columns, "shard", "place", "copy")
+    rows = _numbered(docs)
+    # The random order is by a hash of id and text, so it does not depend on the rows' numbers.
+    drawn = mix(rows.withColumn("mark", F.xxhash64("doc_id", "text")), id_col="mark", carry=(ROW,)).select(ROW, "shard", "place", "copy")
+    return rows.join(drawn, ROW).select(*docs.columns, "shard", "place", "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
