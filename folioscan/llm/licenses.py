@@ -1,7 +1,7 @@
 """License scan by an exact set-similarity join of text blocks with license templates.
 
-A block is a run of up to BLOCK_WORDS words of one line, and each block overlaps the next by half. A template joins a
-block if the block holds at least THRESHOLD of the template's distinct words. Tokens are ordered by how many documents
+A block is a run of up to BLOCK_WORDS words, or twice the words of the longest template if that is more; it goes across
+line ends, and each block overlaps the next by half, so every notice stands whole in some block. A template joins a block if the block holds at least THRESHOLD of the template's distinct words. Tokens are ordered by how many documents
 of the whole corpus hold them, rarest first. Prefix filter: a block that misses every one of a template's first
 size - needed + 1 tokens cannot reach it. Length filter: nor can a block of fewer than needed words. Positional filter:
 while the tokens are walked in order, a pair is dropped once those left cannot make up what is missing. Base labels
@@ -94,11 +94,9 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in counts.collect()}
 
 
-def _blocks(text: bytes, size: int) -> Iterator[set[bytes]]:
-    for line in text.split(b"\n"):
-        words = line.translate(WORDS_TABLE).split()
-        for at in range(0, max(1, len(words) - size // 2), size // 2):
-            yield set(words[at : at + size])
+def _blocks(words: list[bytes], size: int) -> Iterator[set[bytes]]:
+    for at in range(0, max(1, len(words) - size // 2), size // 2):
+        yield set(words[at : at + size])
 
 
 def _phrase_places(joined: bytes, phrase: bytes) -> list[int]:
@@ -115,6 +113,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
     rows = doc_rows(docs, id_col, text_col)
     vocabulary = {t for text in templates for t in text.encode().split()}
     index = Index(templates, token_counts(rows, vocabulary), threshold)
+    size = max(2, block_words, *(2 * len(text.split()) for text in templates))
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
     def scan(text: bytes) -> tuple:
@@ -127,7 +126,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
         if not index.prefix.keys().isdisjoint(words):
-            for block in _blocks(text, block_words):
+            for block in _blocks(words, size):
                 for label, share in index.join(block):
                     labels.add(label)
                     score = max(score, share)
