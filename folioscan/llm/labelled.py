@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import doc_rows
+from folioscan.llm.common import doc_rows, written
 
 
 def fold(column: str, mod: int) -> Column:
@@ -14,26 +14,46 @@ def fold(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % mod
 
 
+def within(sizes: list[tuple[int, int]], max_bytes: int) -> list[bool]:
+    """For each (class, bytes), in order, whether it is taken.
+
+    Each class may fill half of max_bytes, and what the other does not need. A text that does not fit is passed over; a
+    class none of whose texts fits has its shortest.
+    """
+    needed = [sum(n for y, n in sizes if y == c) for c in (0, 1)]
+    room = [max(max_bytes // 2, max_bytes - needed[1 - c]) for c in (0, 1)]
+    taken = []
+    for y, n in sizes:
+        taken.append(n <= room[y])
+        room[y] -= n if taken[-1] else 0
+    for c in (0, 1):
+        own = [i for i, (y, _) in enumerate(sizes) if y == c]
+        if own and not any(taken[i] for i in own):
+            taken[min(own, key=lambda i: sizes[i][1])] = True
+    return taken
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: tuple[int, int], max_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
     """(texts, 0/1 labels, share of 1 among all usable labels).
 
     At most rows[y] texts with label y, the first in the order of a hash of their id, and at most about max_bytes of text
-    in all. Rows whose label is neither 0 nor 1 are not used. Equal texts of one class are taken once.
+    in all, of which each class has its own part: see within(). Rows whose label is neither 0 nor 1 are not used. Equal
+    texts of one class are taken once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(7), "doc_id")
     first = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows[y]) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most sum(rows) ids
+    held = doc_rows(docs).join(chosen, "doc_id").select("y", "doc_id", order.alias("place"), "text", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    held = written(held)
+    # Only sizes come to the driver before it is known which texts are taken.
+    sizes = held.groupBy("y", "sha").agg(F.first("bytes").alias("bytes"), F.min(F.struct("place", "doc_id", "sha")).alias("at")).orderBy("at", "y").collect()
+    picked = [(r["y"], r["sha"]) for r, t in zip(sizes, within([(r["y"], r["bytes"]) for r in sizes], max_bytes)) if t]
+    wanted = held.sparkSession.createDataFrame(picked, "y int, sha string")
     texts: dict[tuple[int, bytes], None] = {}
-    size = 0
-    for r in doc_rows(docs).join(chosen, "doc_id").orderBy(order, "doc_id", "text").toLocalIterator():
-        key = (r["y"], bytes(r["text"]))
-        if key not in texts:
-            size += len(key[1])
-            if texts and size > max_bytes:
-                break
-            texts[key] = None
+    for r in held.join(F.broadcast(wanted), ["y", "sha"]).orderBy("place", "doc_id", "text").toLocalIterator():
+        texts[r["y"], bytes(r["text"])] = None
     y = np.array([k[0] for k in texts], np.float64)
     return [k[1] for k in texts], y, counts.get(1, 0) / max(1, sum(counts.values()))
 
