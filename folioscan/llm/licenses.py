@@ -1,16 +1,17 @@
 """License scan by an exact set-similarity join of text blocks with license templates.
 
-A block is a run of up to BLOCK_WORDS words, or twice the words of the longest template if that is more; it goes across
-line ends, and each block overlaps the next by half, so every notice stands whole in some block. A template joins a block if the block holds at least THRESHOLD of the template's distinct words. Tokens are ordered by how many documents
-of the whole corpus hold them, rarest first. Prefix filter: a block that misses every one of a template's first
-size - needed + 1 tokens cannot reach it. Length filter: nor can a block of fewer than needed words. Positional filter:
-while the tokens are walked in order, a pair is dropped once those left cannot make up what is missing. Base labels
-come from phrases whose words stand consecutively.
+Templates are short notices and whole license texts. A block is a run of BLOCK_WORDS words, or for a longer template of
+the power of two that holds it twice; it goes across line ends, and each block overlaps the next by half, so every notice
+stands whole in some block. A template joins a block of its size if the block holds at least THRESHOLD of the template's
+distinct words. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. Prefix filter: a
+block that misses every one of a template's first size - needed + 1 tokens cannot reach it. Length filter: nor can a
+block of fewer than needed words. Positional filter: while the tokens are walked in order, a pair is dropped once those
+left cannot make up what is missing. Base labels come from phrases whose words stand consecutively.
 
 Scale. One pass counts the templates' tokens (a fixed vocabulary, summed per task before anything is sent), one pass
-joins; texts are not shuffled. The templates are fixed values of a few KB.
+joins; texts are not shuffled. The templates are fixed values of a few KB, sent with the task.
 
-Cases. Null, empty or wordless text: no places, no labels, score 0. Null doc_id: a row like any other. Repeated rows:
+Cases. Null, empty or wordless text: no words, no places, no labels, score 0. Null doc_id: a row like any other. Repeated rows:
 each is a row of the result. Empty table: no rows.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import WORDS_TABLE, chunks, doc_rows
+from folioscan.llm.license_texts import TEXTS
 
 THRESHOLD = 0.9
 BLOCK_WORDS = 64
@@ -51,6 +53,9 @@ TEMPLATES = {
 }
 
 
+TEMPLATES |= {" ".join(text.encode().translate(WORDS_TABLE).decode().split()): label for text, label in TEXTS.items()}
+
+
 class Index:
     """Templates with their tokens in global order, and which prefix token leads to which template."""
 
@@ -94,6 +99,11 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in counts.collect()}
 
 
+def block_size(template: str, least: int = BLOCK_WORDS) -> int:
+    """Words of the blocks in which a template is looked for."""
+    return max(least, 2 << (len(template.split()) - 1).bit_length())
+
+
 def _blocks(words: list[bytes], size: int) -> Iterator[set[bytes]]:
     for at in range(0, max(1, len(words) - size // 2), size // 2):
         yield set(words[at : at + size])
@@ -109,11 +119,14 @@ def _phrase_places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_base, first_word, last_word, base_labels, labels, score): score is the best containment of a template, 1 with a base place, else 0."""
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): score is the best containment of a template, 1 with a base place, else 0."""
     rows = doc_rows(docs, id_col, text_col)
     vocabulary = {t for text in templates for t in text.encode().split()}
-    index = Index(templates, token_counts(rows, vocabulary), threshold)
-    size = max(2, block_words, *(2 * len(text.split()) for text in templates))
+    frequency = token_counts(rows, vocabulary)
+    of_size: dict[int, dict[str, str]] = {}
+    for text, label in templates.items():
+        of_size.setdefault(block_size(text, block_words), {})[text] = label
+    indexes = [(size, Index(own, frequency, threshold)) for size, own in of_size.items()]
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
     def scan(text: bytes) -> tuple:
@@ -125,19 +138,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
                 places += found
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        if not index.prefix.keys().isdisjoint(words):
-            for block in _blocks(words, size):
-                for label, share in index.join(block):
-                    labels.add(label)
-                    score = max(score, share)
-        return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+        for size, index in indexes:
+            if not index.prefix.keys().isdisjoint(words):
+                for block in _blocks(words, size):
+                    for label, share in index.join(block):
+                        labels.add(label)
+                        score = max(score, share)
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         for batch in batches:
             for c in chunks(batch):
                 found = [scan(t) for t in c.column("text").to_pylist()]
                 columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), *columns], names=["doc_id", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -13,7 +13,7 @@ def words(text):
     return WORD.findall("".join(chr(ord(c) | 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute(text, threshold=m.THRESHOLD, size=m.BLOCK_WORDS):
+def brute(text, threshold=m.THRESHOLD):
     w, places, base = words(text), [], set()
     for phrase, label in m.PHRASES.items():
         p = phrase.split()
@@ -21,17 +21,14 @@ def brute(text, threshold=m.THRESHOLD, size=m.BLOCK_WORDS):
         places += found
         base |= {label} if found else set()
     labels, score = set(base), 1.0 if base else 0.0
-    for line in (text or "").split("\n"):
-        v = words(line)
-        for at in range(0, max(1, len(v) - size // 2), size // 2):
-            block = set(v[at : at + size])
-            for template, label in m.TEMPLATES.items():
-                tokens = set(template.split())
-                share = len(tokens & block) / len(tokens)
-                if share >= threshold - 1e-9:
-                    labels.add(label)
-                    score = max(score, share)
-    return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+    for template, label in m.TEMPLATES.items():
+        tokens, size = set(template.split()), m.block_size(template)
+        for at in range(0, max(1, len(w) - size // 2), size // 2):
+            share = len(tokens & set(w[at : at + size])) / len(tokens)
+            if share >= threshold - 1e-9:
+                labels.add(label)
+                score = max(score, share)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 def test_against_brute_force(spark):
@@ -58,5 +55,16 @@ def test_join_filters_lose_nothing(threshold):
     assert list(itertools.islice(index.join(set()), 1)) == []
 
 
+def test_whole_texts_with_few_words_changed(spark):
+    texts = []
+    for t, label in m.TEXTS.items():
+        w = t.split()
+        w[len(w) // 2] = "otherword"
+        texts.append(("x " * 300 + "\n".join(w) + " y" * 40, label))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in m.license_scan(df).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score >= 0.9 for i, (_, label) in enumerate(texts))
+
+
 def test_empty(spark):
     assert m.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
