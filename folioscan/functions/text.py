@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr,
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 COMMENT = r"(?<!\\)%[^\n]*"
 COMMAND = r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?"
+#: Numbers that running() sums in one go.
+RUN = 128
 BEGIN, END, BIBLIOGRAPHY = r"\begin{document}", r"\end{document}", r"\begin{thebibliography}"
 
 
@@ -58,32 +62,68 @@ def preamble(source: Column) -> Column:
     return F.when(at == 0, "").otherwise(F.substring(source, F.lit(1), at - 1))
 
 
-def occurrences(text: Column, pattern: str, *groups: int) -> Column:
-    """Every match in order: array<struct<start, line, end, end_line, text, tail, g1, g2, ...>>.
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    start and end are character offsets (end exclusive), line and end_line count from 1, tail is the text up to the next
-    match, and one field per group asked for. One pass carries the running offset and line count along, so a text with
-    many matches is not measured again for each.
+
+_PLACE = "struct<chars:int,lines:int>"
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["lines"] + b["lines"]).alias("lines"))
+
+
+def _sums(steps: Column, begin: Column) -> Column:
+    zero = F.struct(begin.alias("at"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    return F.aggregate(steps, zero, lambda acc, n: F.struct(_plus(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
+def running(steps: Column) -> Column:
+    """For each of an array of struct<chars, lines> the sum of those before it.
+
+    Runs of RUN steps are summed by themselves and the sums of the runs after that, so what is copied stays in proportion
+    to the array.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    columns = [whole, F.slice(F.split(text, pattern, -1), 2, F.greatest(F.size(whole), F.lit(1)))]
-    columns += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    names = ["text", "tail", *[f"g{g}" for g in groups]]
-    first = F.get(F.split(text, pattern, -1), F.lit(0))
-    kind = "array<struct<start:int,line:int,end:int,end_line:int,text:string,tail:string" + "".join(f",g{g}:string" for g in groups) + ">>"
-    zero = F.struct(F.length(first).alias("at"), (newlines(first) + 1).alias("line"), F.array().cast(kind).alias("out"))
+    zero = F.lit(0)
+    zero = F.struct(zero.alias("chars"), zero.alias("lines"))
+    runs_of = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda k: F.slice(a, k * RUN + 1, F.lit(RUN)))
+    starts = lambda runs: _sums(F.transform(runs, lambda r: F.aggregate(r, zero, _plus)), zero)
+    of = lambda a: let(runs_of(a), lambda runs: F.flatten(F.zip_with(runs, starts(runs), _sums)))
+    return let(steps, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast(f"array<{_PLACE}>")))
+
+
+def pieces(text: Column, pattern: str, *groups: int) -> Column:
+    """struct<whole, gaps, g1, ...>: the matches of a pattern, the texts around them, and the groups asked for; null without a match."""
+    found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return let(found(0), lambda w: F.when(F.size(w) > 0, F.struct(w.alias("whole"), F.split(text, pattern, -1).alias("gaps"), *[found(g).alias(f"g{g}") for g in groups])))
+
+
+def placed(parts: Column, *groups: int) -> Column:
+    """The matches of pieces() with their places; see occurrences()."""
+
+    def at(places: Column) -> Column:
+        def row(w: Column, i: Column) -> Column:
+            gap, place = F.get(parts["gaps"], i), F.get(places, i)
+            start, line = place["chars"] + F.length(gap), place["lines"] + newlines(gap) + 1
+            return F.struct(start.alias("start"), line.alias("line"), (start + F.length(w)).alias("end"), (line + newlines(w)).alias("end_line"), w.alias("text"), F.get(parts["gaps"], i + 1).alias("tail"), *[F.get(parts[f"g{g}"], i).alias(f"g{g}") for g in groups])
 
-    def step(acc: Column, m: Column) -> Column:
-        whole, tail = m["text"], m["tail"]
-        end, end_line = acc["at"] + F.length(whole), acc["line"] + newlines(whole)
-        row = F.struct(acc["at"].alias("start"), acc["line"].alias("line"), end.alias("end"), end_line.alias("end_line"), *[m[n].alias(n) for n in names])
-        return F.struct((end + F.length(tail)).alias("at"), (end_line + newlines(tail)).alias("line"), F.concat(acc["out"], F.array(row).cast(kind)).alias("out"))
+        return F.transform(parts["whole"], row)
 
-    return F.when(F.size(whole) > 0, F.aggregate(F.arrays_zip(*columns).cast(_zipped(names)), zero, step)["out"]).otherwise(F.array().cast(kind))
+    whole = lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))
+    steps = F.transform(F.zip_with(parts["gaps"], parts["whole"], whole), lambda x: F.struct(F.length(x).alias("chars"), newlines(x).alias("lines")))
+    return let(running(steps), at)
 
 
-def _zipped(names: list[str]) -> str:
-    return "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+def occurrences(text: Column, pattern: str, *groups: int) -> Column:
+    """Every match in order: array<struct<start, line, end, end_line, text, tail, g1, g2, ...>>.
+
+    start and end are character offsets (end exclusive), line and end_line count from 1, tail is the text up to the next
+    match, and one field per group asked for. Offsets and lines are running sums over the lengths of matches and gaps, so
+    the time is in proportion to the text, whatever the number of matches.
+    """
+    kind = "array<struct<start:int,line:int,end:int,end_line:int,text:string,tail:string" + "".join(f",g{g}:string" for g in groups) + ">>"
+    return let(pieces(text, pattern, *groups), lambda s: F.coalesce(placed(s, *groups).cast(kind), F.array().cast(kind)))
 
 
 def quoted(c: Column) -> Column:

@@ -34,19 +34,21 @@ def scan_rules(rows: DataFrame, column: str, rules: tuple[Rule, ...] = RULES) ->
     runs on texts that hold one of its guards.
     """
     low = rows.withColumn("low", F.lower(F.col(column)))
-    kind = "array<struct<rule_idx:int,match_idx:int,severity:string,category:string,message:string,line:int,excerpt:string>>"
     found = []
-    for k, rule in enumerate(rules):
+    for rule in rules:
         guard = F.lit(False)
         for g in rule.guards:
             guard = guard | F.contains(F.col("low"), F.lit(g))
-        make = lambda m, i, k=k, rule=rule: F.struct(F.lit(k).alias("rule_idx"), i.alias("match_idx"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), F.lit(rule.message).alias("message"), m["line"].alias("line"), t.strip(F.substring(m["text"], F.lit(1), F.lit(80))).alias("excerpt"))
-        found.append(F.when(guard, _indexed(t.occurrences(F.col(column), rule.pattern), make).cast(kind)).otherwise(F.array().cast(kind)))
-    return low.select("doc_path", "start_line", F.inline(F.concat(*found)))
+        about = F.struct(F.lit(RULES.index(rule) if rule in RULES else len(RULES) + rules.index(rule)).alias("rule_idx"), *[F.lit(v).alias(n) for n, v in (("severity", rule.severity), ("category", rule.category), ("message", rule.message))])
+        found.append(F.when(guard, F.struct(about.alias("rule"), t.pieces(F.col(column), rule.pattern).alias("parts"))))
+    # The patterns are done with; one expression places the matches of all rules.
+    some = F.filter(F.array(*found), lambda r: r["parts"].isNotNull())
+    all_rules = F.transform(some, lambda r: F.transform(t.placed(r["parts"]), lambda m, i: _match(r["rule"], m, i)))
+    return low.select("doc_path", "start_line", F.inline(F.flatten(all_rules)))
 
 
-def _indexed(array: Column, make) -> Column:
-    return F.transform(array, lambda m, i: make(m, i))
+def _match(rule: Column, m: Column, i: Column) -> Column:
+    return F.struct(rule["rule_idx"].alias("rule_idx"), i.alias("match_idx"), rule["severity"].alias("severity"), rule["category"].alias("category"), rule["message"].alias("message"), m["line"].alias("line"), t.strip(F.substring(m["text"], F.lit(1), F.lit(80))).alias("excerpt"))
 
 
 def artifacts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as t
 from folioscan.operators import bib, checks, parse, replies, report
 from folioscan.plans import oracle as o
+from folioscan.rules import RULES
 from folioscan.sources import derived as d
 from folioscan.sources import files, lookups
 
@@ -122,7 +123,7 @@ def bib_fields(spark: SparkSession, sf: str) -> DataFrame:
 def _artifacts(spark: SparkSession, sf: str, severity: str, column: str) -> DataFrame:
     docs = _docs(spark, sf)
     rows = parse.with_body(docs) if column == "body" else parse.with_preamble(docs).withColumn("start_line", F.lit(1))
-    found = checks.scan_rules(rows, column).where(F.col("severity") == severity)
+    found = checks.scan_rules(rows, column, tuple(r for r in RULES if r.severity == severity))
     return _longs(found.select("doc_path", "rule_idx", "match_idx", "category", "message", (F.col("line") + F.col("start_line") - 1).alias("line"), "excerpt"))
 
 

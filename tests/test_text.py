@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,26 @@ def test_occurrences_match_finditer(spark):
         assert [m.tail for m in r.m] == [s[m.end() : (found + [None])[k + 1].start() if k + 1 < len(found) else len(s)] for k, m in enumerate(found)]
 
 
+def test_running_sums(spark):
+    random.seed(4)
+    rows = [[(random.randrange(9), random.randrange(2)) for _ in range(n)] for n in (0, 1, 127, 128, 129, 256, 1000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a array<struct<chars:int,lines:int>>")
+    for r in df.select("i", t.running(F.col("a")).alias("x")).collect():
+        assert [tuple(x) for x in r.x] == [(sum(c for c, _ in rows[r.i][:k]), sum(n for _, n in rows[r.i][:k])) for k in range(len(rows[r.i]))]
+
+
+def test_time_of_occurrences_is_in_proportion(spark):
+    def seconds(n):
+        df = spark.createDataFrame([("\\cite{k} a\n" * n,)], "s string").select(t.occurrences(F.col("s"), r"\\cite\{([^}]+)\}", 1).alias("m"))
+        began = time.time()
+        last = df.select(F.size("m").alias("n"), F.element_at("m", -1).alias("m")).first()
+        assert last.n == n and last.m.line == n and last.m.start == 11 * (n - 1)
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(100_000) < 8 * max(seconds(25_000), 0.5)
+
+
 def test_quoted(spark):
     texts = ["plain", "it's", 'say "x"', "both ' and \"", "a\nb", "back\\slash"]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").select("i", t.quoted(F.col("s")).alias("x")).collect()
