@@ -73,10 +73,15 @@ def test_against_brute_force(spark):
     rows = [(i, random.choice([" ", "\n", "\t "]).join(random.choice(pool) for _ in range(random.randrange(40)))) for i in range(80)]
     rows += [(None, None), (3, ""), (3, ""), (None, "a b"), (200, "unseen words only"), (201, "the " * 4000), (202, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS g", "text AS learn").repartition(3)
-    for sizes in ({"bucket_bytes": 300, "shard_bytes": 900}, {}):
+    results = []
+    for sizes in ({"bucket_bytes": 300, "shard_bytes": 900}, {}, {"bucket_bytes": 2000, "shard_bytes": 200, "hot": 20}, {"shard_bytes": 400, "hot": 5}):
         got = sorted((tuple(r) for r in m.lm_score(df, **sizes).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
         for a, b in zip(got, brute(rows), strict=True):
             assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=0.003 * b[2] + 1e-6)
+        results.append(got)
+    for got in results[1:]:  # how rows are dealt changes nothing
+        for a, b in zip(got, results[0], strict=True):
+            assert a[6] == pytest.approx(b[6], abs=1e-9 * max(1, b[2]))
 
 
 def test_empty(spark):
