@@ -9,15 +9,16 @@ Which suffixes can meet. All windows of LENGTH bytes that have the same smallest
 equal windows have equal smallest hashes, so only runs of one hash value need to be sorted together. A run whose value
 turns up in no other run has no repeat and is never sent. The hash only decides who meets; equality is decided on bytes.
 
-Scale. Documents are dealt to buckets of about BUCKET_BYTES by a hash of their id (one exchange of the texts, read three
-times). A bucket sends each hash value once, and each distinct run once, whatever the number of copies it holds: a
+Scale. Documents are dealt to buckets of about BUCKET_BYTES by a hash of id and text (one exchange of the texts, read
+three times). A bucket sends each hash value once, and each distinct run once, whatever the number of copies it holds: a
 passage that a third of all documents share is a row per bucket, not per document. Where such a passage begins and ends,
 though, runs differ from document to document and still have one hash value: the windows of values with HOT_RUNS runs or
-more are therefore dealt out by a hash of their own bytes. Answers go back to buckets as lists of places. A task holds
+more are therefore dealt out by a hash of their own bytes, each different window once per bucket. Answers go back to buckets as lists of places. A task holds
 one bucket or one shard of runs; both sizes are parameters, to be raised with the executors' memory.
 
 Cases. Null or empty text, or one below LENGTH bytes: nothing is removed. Null doc_id: before all others. Rows that share
-a doc_id: documents of their own, in the order of their texts; of equal rows one stays whole. Empty table: no rows.
+a doc_id: documents of their own, in the order of the XXH64 of their texts; of equal rows one stays whole. Extra columns,
+whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -128,12 +129,12 @@ def refine(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int
 
 
 def _bucket(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, texts, data, starts, ends) of a bucket's documents in their order."""
-    rows = sorted(zip([NO_ID if d is None else d for d in table.column("doc_id").to_pylist()], table.column("text").to_pylist()))
-    texts = [t for _, t in rows]
+    """(names, texts, data, starts, ends) of a bucket's documents in their order; a name is the id and the hash of the text."""
+    rows = sorted(zip([NO_ID if d is None else d for d in table.column("doc_id").to_pylist()], table.column("mark").to_pylist(), table.column("text").to_pylist()))
+    texts = [t for *_, t in rows]
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    return np.array([d for d, _ in rows], np.int64), texts, np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends
+    return np.array([r[:2] for r in rows], np.int64).reshape(-1, 2), texts, np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends
 
 
 def _by_target(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -196,7 +197,7 @@ def _send_runs(shards: int, length: int, gram: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         g = docs.column("g")[0].as_py()
-        ids, texts, data, starts, ends = _bucket(docs)
+        names, texts, data, starts, ends = _bucket(docs)
         values, at, count, itself = runs(data, starts, ends, length, gram)
         shared, hot = _numbers(answers.column("vals").to_pylist(), np.uint64), _numbers(answers.column("hot").to_pylist(), bool)
         hot = shared[hot]
@@ -232,11 +233,19 @@ def _send_runs(shards: int, length: int, gram: int):
         if split.any():
             whole, parts = np.flatnonzero(~split), np.flatnonzero(split)
             pieces, place, own_hash = _windows([contents[k] for k in parts.tolist()], at[i[parts]], count[i[parts]], length)
+            # Pieces stand in the order of the bucket's documents: of equal ones the first is sent, the others repeat it.
+            seen: dict[bytes, int] = {}
+            leads = np.array([seen.setdefault(piece, k) == k for k, piece in enumerate(pieces)], bool)
+            if not leads.all():
+                again_at = place[~leads]
+                d = np.searchsorted(starts, again_at, "right") - 1
+                add(0, g, np.stack([d, again_at - starts[d], np.ones(len(again_at), np.int64)], 1), None)
+            place, own_hash, pieces = place[leads], own_hash[leads], list(seen)
             sends = [(at[i[whole]], count[i[whole]], values[i[whole]], itself[i[whole]], [contents[k] for k in whole.tolist()]), (place, np.ones(len(place), np.int64), own_hash, np.zeros(len(place), bool), pieces)]
         for place, windows, value, again, texts_of in sends:
             of = np.searchsorted(starts, place, "right") - 1
             for p, own in _by_target((value % np.uint64(shards)).astype(np.int64)):
-                meta = np.stack([ids[of[own]], of[own], place[own] - starts[of[own]], windows[own], value[own].view(np.int64), again[own]], 1)
+                meta = np.column_stack([names[of[own]], of[own], place[own] - starts[of[own]], windows[own], value[own].view(np.int64), again[own]])
                 add(1, p, meta, b"".join(texts_of[o] for o in own.tolist()))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types)})
@@ -245,30 +254,30 @@ def _send_runs(shards: int, length: int, gram: int):
 
 
 def repeated_windows(keys: np.ndarray, contents: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(run, first window, windows) that also start earlier. keys: doc_id, document, offset, windows, hash value of each run, and whether it may repeat itself."""
-    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    """(run, first window, windows) that also start earlier. keys: doc_id, hash of the text, document, offset, windows, hash value of each run, and whether it may repeat itself."""
+    order = np.lexsort(keys[:, 3::-1].T)
     first: dict[bytes, int] = {}
     out, kept = [], []
     for i in order.tolist():
         if contents[i] in first:
-            out.append((i, 0, int(keys[i, 3])))
+            out.append((i, 0, int(keys[i, 4])))
         else:
             first[contents[i]] = i
             kept.append(i)
     kept_at = np.array(kept, np.int64)
-    _, number, times = np.unique(keys[kept_at, 4], return_inverse=True, return_counts=True)
-    kept_at = kept_at[(times[number] > 1) | (keys[kept_at, 5] > 0)]  # still in order of document and offset
+    _, number, times = np.unique(keys[kept_at, 5], return_inverse=True, return_counts=True)
+    kept_at = kept_at[(times[number] > 1) | (keys[kept_at, 6] > 0)]  # still in order of document and offset
     if not len(kept_at):
         return out
     sizes = np.array([len(contents[i]) for i in kept_at.tolist()], np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(contents[i] for i in kept_at.tolist()), np.uint8)
     pointer = refine(data, starts, sizes, length)
-    count = keys[kept_at, 3]
+    count = keys[kept_at, 4]
     of = np.repeat(np.arange(len(kept_at)), count)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     # Runs of one document may overlap in order only by offset, so windows are ordered by document and place.
-    rank = np.lexsort((keys[kept_at[of], 2] + offset, keys[kept_at[of], 1], keys[kept_at[of], 0]))
+    rank = np.lexsort((keys[kept_at[of], 3] + offset, *keys[kept_at[of], 2::-1].T))
     bucket = pointer[starts[of] + offset]
     by = rank[np.argsort(bucket[rank], kind="stable")]
     later = np.append(False, bucket[by][1:] == bucket[by][:-1])
@@ -288,14 +297,14 @@ def _meet(length: int):
             return pa.table({"g": pa.array(own, pa.int32()), "meta": pa.array(metas, pa.binary())})
         keys, contents, of = [], [], []
         for g, meta, content in zip(own, metas, table.column("content").to_pylist()):
-            k = np.frombuffer(meta, np.int64).reshape(-1, 6)
-            ends = np.cumsum(k[:, 3] + length - 1)
-            contents += [content[b - s : b] for b, s in zip(ends.tolist(), (k[:, 3] + length - 1).tolist())]
+            k = np.frombuffer(meta, np.int64).reshape(-1, 7)
+            ends = np.cumsum(k[:, 4] + length - 1)
+            contents += [content[b - s : b] for b, s in zip(ends.tolist(), (k[:, 4] + length - 1).tolist())]
             keys.append(k)
             of.append(np.full(len(k), g))
         keys, of = np.concatenate(keys), np.concatenate(of)
         found = np.array(repeated_windows(keys, contents, length), np.int64).reshape(-1, 3)
-        places = np.stack([keys[found[:, 0], 1], keys[found[:, 0], 2] + found[:, 1], found[:, 2]], 1)
+        places = np.stack([keys[found[:, 0], 2], keys[found[:, 0], 3] + found[:, 1], found[:, 2]], 1)
         parts = _by_target(of[found[:, 0]])
         return pa.table({"g": pa.array([g for g, _ in parts], pa.int32()), "meta": pa.array([binary(places[i]) for _, i in parts], pa.binary())})
 
@@ -304,7 +313,7 @@ def _meet(length: int):
 
 def _remove(length: int, with_text: bool):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        ids, texts, data, starts, ends = _bucket(docs)
+        names, texts, data, starts, ends = _bucket(docs)
         places = _numbers(found.column("meta").to_pylist(), np.int64, 3)
         edge = np.zeros(len(data) + 1, np.int32)
         at = starts[places[:, 0]] + places[:, 1]
@@ -321,7 +330,7 @@ def _remove(length: int, with_text: bool):
             shas.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 kept_texts.append(kept)
-        columns = {"doc_id": pa.array([None if d == NO_ID else d for d in ids.tolist()], pa.int64()), "n_bytes": pa.array(ends - starts), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+        columns = {"doc_id": pa.array([None if d == NO_ID else d for d in names[:, 0].tolist()], pa.int64()), "n_bytes": pa.array(ends - starts), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         return pa.table(columns | ({"kept": pa.array(kept_texts, pa.binary())} if with_text else {}))
 
     return run
@@ -334,7 +343,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     rows = doc_rows(docs, id_col, text_col)
     size = total(rows, F.octet_length("text"))
     buckets, shards = size // bucket_bytes + 1, size // shard_bytes + 1
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.select("*", F.xxhash64("text").alias("mark"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("g"))
     values = rows.groupBy("g").applyInArrow(_send_values(shards, length, gram), "p int, g int, vals binary, times binary")
     shared = values.groupBy("p").applyInArrow(_shared_values(hot_runs), "g int, vals binary, hot binary")
     sent = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send_runs(shards, length, gram), "kind int, target int, g int, meta binary, content binary")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from folioscan.llm import suffix_dedup as s
 from folioscan.llm.common import NO_ID
@@ -10,7 +11,8 @@ from folioscan.llm.common import NO_ID
 
 def brute(rows, length):
     seen, out = set(), []
-    for d, t in sorted((NO_ID if d is None else d, (t or "").encode()) for d, t in rows):
+    hashed = lambda t: np.uint64(xxhash.xxh64_intdigest(t, seed=42)).astype(np.int64)
+    for d, _, t in sorted((NO_ID if d is None else d, hashed((t or "").encode()), (t or "").encode()) for d, t in rows):
         covered = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if t[i : i + length] in seen:
@@ -47,6 +49,18 @@ def test_refinement_sorts_suffixes():
         assert (pointer[i] == pointer[j]) == (a == b) and pointer[i] <= pointer[j]
 
 
+def test_a_bucket_sends_a_hot_window_once():
+    import pyarrow as pa
+
+    shared = bytes(range(33, 33 + 80)) * 2
+    docs = pa.table({"doc_id": list(range(60)), "text": [b"%03d" % i * 9 + shared + b"%03d" % i * 9 for i in range(60)], "mark": [0] * 60, "g": pa.array([0] * 60, pa.int32())})
+    values = np.unique(s.runs(np.frombuffer(b"".join(docs.column("text").to_pylist()), np.uint8), np.arange(60) * 214, np.arange(1, 61) * 214)[0])
+    answers = pa.table({"vals": [values.tobytes()], "hot": [np.ones(len(values), bool).tobytes()]})
+    out = s._send_runs(3, 100, 32)(docs, answers)
+    sent = [c for k, m, b in zip(out.column("kind").to_pylist(), out.column("meta").to_pylist(), out.column("content").to_pylist()) if k for c in [b[i : i + 100] for i in range(0, len(b), 100)]]
+    assert len(sent) == len(set(sent)) > 60
+
+
 def test_edges(spark):
     assert s.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
