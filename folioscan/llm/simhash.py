@@ -7,12 +7,16 @@ factor out what their children share in turn, so each child is compared only in
 walks down from the top, adds up the differences, and drops a whole group once they exceed the limit.
 
 Scale. Only distinct fingerprints are indexed. With b = distance + 1 bands, two linked fingerprints agree in one band,
-so each (band, value) is an index of its own and all of them are spread over the cluster by that key. A task returns a
-spanning forest of the links it found, never all pairs: groups that already hang together as a whole are skipped
-during the search. The forests are joined by large-star and small-star steps, each written to the shared folder.
+so each (band, value) is an index of its own and all of them are spread over the cluster by that key, in as many shards as
+the number of fingerprints asks for. A value that more than MOST fingerprints share is split: among them, two linked ones
+agree in one of b bands of the remaining bits too, and so on until no more than LEFT bits are open, so the same links are
+found in groups of at most 2**LEFT. A task returns a spanning forest of the links it found, never all pairs: groups that already hang together as a
+whole are skipped during the search. The forests are joined by large-star and small-star steps, each written to the
+shared folder.
 
 Cases. Null text: as empty, fingerprint zero. Null doc_id: linked like any other row; component_id is the smallest id
-that is not null, or null. Repeated rows: each is a row of the result. Empty table: no rows.
+that is not null, or null. Repeated rows: each is a row of the result. Empty table: no rows. Extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import chunks, doc_rows, written
@@ -32,6 +36,12 @@ DISTANCE = 3
 SHINGLE = 3
 #: Children of an index node, and members of a lowest node.
 FANOUT = 8
+#: Fingerprints of one band value that are searched together; at least a KEYS-th of all, so at most b * KEYS values are split.
+MOST = 500_000
+KEYS = 50_000
+LEFT = 21
+#: Rows (a fingerprint in a band) of a shard.
+SHARD_ROWS = 500_000
 #: Queries that walk the index together.
 QUERIES = 4096
 
@@ -153,19 +163,16 @@ def _links_of_run(codes: np.ndarray, limit: int) -> np.ndarray:
     return label
 
 
-def band_links(codes: np.ndarray, bands: np.ndarray, limit: int, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, linked code) forming a forest of all links between codes that share the value of the band they are given with."""
-    width = BITS // n_bands
-    turned = codes.copy()
-    for band in range(1, n_bands):
-        own = bands == band
-        shift = np.uint64(band * width)
-        turned[own] = (codes[own] << shift) | (codes[own] >> np.uint64(BITS - band * width))
+def band_links(codes: np.ndarray, turned: np.ndarray, path: np.ndarray, fixed: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, linked code) forming a forest of all links between codes of one path that share the top bits they are given with.
+
+    turned: the codes with their bits in the order of the path; fixed: how many of the top ones codes must share.
+    """
     rank = gray_rank(turned)
-    order = np.lexsort((rank, bands))
-    codes, turned, bands = codes[order], turned[order], bands[order]
-    key = turned >> np.uint64(BITS - width)
-    new = np.append(True, (key[1:] != key[:-1]) | (bands[1:] != bands[:-1]))
+    order = np.lexsort((rank, path))
+    codes, turned, path, fixed = codes[order], turned[order], path[order], fixed[order]
+    key = turned >> (np.uint64(BITS) - fixed.astype(np.uint64))
+    new = np.append(True, (key[1:] != key[:-1]) | (path[1:] != path[:-1]))
     run = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(codes)))
@@ -186,21 +193,53 @@ def band_links(codes: np.ndarray, bands: np.ndarray, limit: int, n_bands: int) -
     return codes[linked], codes[label[linked]]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, shards: int | None = None) -> DataFrame:
+def _turned(code: Column, fixed: int, by: int) -> Column:
+    """The bits below the fixed top ones, turned to the left by so many."""
+    low = BITS - fixed
+    if not by:
+        return code
+    mask = lambda n: F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
+    rest = code.bitwiseAND(mask(low))
+    turned = F.shiftleft(rest, by).bitwiseOR(F.shiftrightunsigned(rest, low - by)).bitwiseAND(mask(low))
+    return turned if not fixed else code.bitwiseAND(~((1 << low) - 1)).bitwiseOR(turned)
+
+
+def banded(fps: DataFrame, bands: int, most: int) -> DataFrame:
+    """(fp, turned, path, fixed): each fingerprint once per band; where more than most share a band's value, once per band of the bits that are left, and so on."""
+
+    def split(rows: DataFrame, fixed: int) -> tuple[DataFrame, int]:
+        width = (BITS - fixed) // bands
+        turned = F.array(*[_turned(F.col("turned"), fixed, b * width) for b in range(bands)])
+        return rows.select("fp", "path", F.posexplode(turned).alias("b", "turned")).select("fp", "turned", (F.col("path") * bands + F.col("b") + 1).alias("path"), F.lit(fixed + width).alias("fixed")), fixed + width
+
+    rows, fixed = split(fps.select("fp", F.col("fp").alias("turned"), F.lit(0).cast("long").alias("path")), 0)
+    done = None
+    while True:
+        key = F.shiftrightunsigned("turned", BITS - fixed).alias("value")
+        hot = rows.groupBy("path", key).count().where(F.col("count") > most).select("path", "value")
+        hot = written(hot)
+        if BITS - fixed <= LEFT or hot.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        # At most b values of a KEYS-th of the fingerprints each can be hot on a level.
+        keyed, hot = rows.withColumn("value", key), F.broadcast(hot)
+        cool = keyed.join(hot, ["path", "value"], "left_anti").drop("value")
+        done = cool if done is None else done.unionByName(cool)
+        rows, fixed = split(keyed.join(hot, ["path", "value"], "left_semi"), fixed)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, shards: int | None = None, most: int | None = None) -> DataFrame:
     """(a, b) with a > b: a forest with the same components as all links between the distinct fingerprints fps(fp)."""
-    n_bands = distance + 1
-    width = BITS // n_bands
-    top = lambda band: F.shiftrightunsigned(F.col("fp"), BITS - (band + 1) * width).bitwiseAND(2**width - 1) if band else F.shiftrightunsigned(F.col("fp"), BITS - width)
-    shards = shards or 4 * max(4, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    banded = fps.select("fp", F.posexplode(F.array(*[top(b) for b in range(n_bands)])).alias("band", "value"))
-    banded = banded.select("fp", "band", F.pmod(F.xxhash64("band", "value"), F.lit(shards)).alias("shard"))
+    bands, n = distance + 1, fps.count()
+    rows = banded(fps, bands, most or max(MOST, n // KEYS))
+    shards = shards or bands * n // SHARD_ROWS + fps.sparkSession.sparkContext.defaultParallelism
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("path", F.expr(f"shiftrightunsigned(turned, {BITS} - fixed)")), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
-        codes = table.column("fp").to_numpy().view(np.uint64)
-        x, y = (v.view(np.int64) for v in band_links(codes, table.column("band").to_numpy(), distance, n_bands))
+        codes, turned = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "turned"))
+        x, y = (v.view(np.int64) for v in band_links(codes, turned, table.column("path").to_numpy(), table.column("fixed").to_numpy(), distance))
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return banded.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint 16 hex digits, component_id: smallest doc_id reachable over links of up to distance bits)."""
     rows = written(fingerprints(docs, shingle, id_col, text_col))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), distance))
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

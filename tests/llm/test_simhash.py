@@ -63,9 +63,10 @@ def test_index_finds_every_neighbour(codes):
     assert list(s._links_of_run(c, 3)) == roots(len(c), zip(*np.nonzero(near)))
 
 
-def test_components_against_all_pairs(spark, codes):
+@pytest.mark.parametrize("most", [None, 100])
+def test_components_against_all_pairs(spark, codes, most):
     fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
-    got = {r.node: r.root for r in s.components(s.links(fps, 3)).collect()}
+    got = {r.node: r.root for r in s.components(s.links(fps, 3, most=most)).collect()}
     near = np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3, 1)
     expected = roots(len(codes), zip(*np.nonzero(near)))
     ids = codes.view(np.int64).tolist()
@@ -78,6 +79,19 @@ def test_components_against_all_pairs(spark, codes):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_hot_band_values_are_split(spark, codes):
+    fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    groups = s.banded(fps, 4, 100).selectExpr("path", "shiftrightunsigned(turned, 64 - fixed) AS value", "fp", "turned", "fixed").collect()
+    sizes = {}
+    for r in groups:
+        sizes.setdefault((r.path, r.value), []).append(r)
+    assert max(r.fixed for r in groups) > 16 and all(len(x) <= 100 or x[0].fixed >= 64 - s.LEFT for x in sizes.values())
+    for rows in sizes.values():  # turning the bits keeps the differences
+        a = np.array([r.fp for r in rows]).view(np.uint64)
+        b = np.array([r.turned for r in rows]).view(np.uint64)
+        assert (np.bitwise_count(a ^ a[0]) == np.bitwise_count(b ^ b[0])).all()
+
+
 def test_documents(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(5, " ".join(words)), (2, " ".join([*words[:150], "other", *words[151:]])), (9, "W0  w1\tw2"), (1, "w0 w1 w2"), (1, "w0 w1 w2"), (None, None), (7, ""), (8, "x y"), (None, "x  Y"), (4, "ü " * 5000)]
