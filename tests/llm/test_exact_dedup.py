@@ -20,14 +20,14 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [4, 7, 4096])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, batches", [(4, 1), (7, 10**5), (4096, 10**5)])
+def test_against_brute_force(spark, block, batches):
     random.seed(block)
     parts = ["".join(random.choice("aé") for _ in range(random.randrange(1, 12))) for _ in range(5)]
     texts = ["".join(random.choice(parts) for _ in range(random.randrange(5))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "other"), (None, texts[1]), (None, None), (99, "x" * 9000), (98, "x" * 9000)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "doc_id AS batch", "text AS name").repartition(3)
-    got = exact_dedup(df, block).collect()
+    got = exact_dedup(df, block, batches).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=repr) == brute(rows)
     kept = defaultdict(int)
     for r in got:
