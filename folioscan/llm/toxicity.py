@@ -8,7 +8,9 @@ with a marginal over one half are its offending spans.
 
 Training takes at most ROWS documents of each label and about MAX_BYTES of text, on the driver: parameters of the
 operator. Scoring reads every whole text in one pass without a shuffle; the model's size is fixed (2**BITS weights).
-Chains are lines, cut after SEGMENT words.
+A chain is a line of any length. Long ones are worked on in segments of SEGMENT words at once: each segment's factors are
+multiplied into one matrix, messages go from segment to segment through these, and then all segments are done together
+with the messages at their ends, which gives the same marginals as the whole chain.
 
 Cases. Null, empty or wordless text: no words, so the score for no evidence. Null doc_id: scored, held_out null.
 No usable labels: every score is the share of toxic labels. Repeated rows: each is scored. Empty table: no rows.
@@ -47,7 +49,7 @@ def features(word: bytes) -> list[int]:
 
 
 class Chains:
-    """The words of some texts as chains of up to SEGMENT words of a line."""
+    """The words of some texts as chains, one per line, in segments of up to SEGMENT words."""
 
     def __init__(self, texts: list[bytes]):
         data = b"\n".join(texts)
@@ -70,9 +72,44 @@ class Chains:
         self.rank = np.empty(len(first), np.int64)
         self.rank[order] = np.arange(len(first))
         self.place = (at % SEGMENT, np.repeat(self.rank, length))
-        self.active = np.searchsorted(-length[order], -np.arange(SEGMENT), "left")  # chains longer than t
+        self.active = np.searchsorted(-length[order], -np.arange(SEGMENT), "left")  # segments longer than t
+        self.first, self.number = first, at[first] // SEGMENT  # the first word of each segment, and its number in its chain
+        self.opens = self.number == 0
+        self.goes_on = np.flatnonzero(np.append(~self.opens[1:], False)) if len(first) else first  # segments with another one behind
         self.shape = (int(length.max()) if n else 0, len(first))
 
+    def messages(self, odds: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(forward, backward, pairs): what each segment, by rank, gets from the one before and the one behind, and the expected transitions between segments."""
+        chains = self.shape[1]
+        forward, backward = np.repeat(np.asarray(start, np.float32)[:, None], chains, 1), np.ones((2, chains), np.float32)
+        pairs, before = np.zeros((2, 2)), self.goes_on
+        if not len(before):
+            return forward, backward, pairs
+        own = np.unique(self.rank[np.append(before, before + 1)])
+        m = np.zeros((2, 2, len(own)), np.float32)  # from the state of a segment's first word to that of its last
+        m[0, 0], m[1, 1] = 1, odds[0, own]
+        for t in range(1, self.shape[0]):
+            k = int(np.searchsorted(own, self.active[t]))
+            now = odds[t, own[:k]]
+            step = [[m[i, 0, :k] * trans[0, j] + m[i, 1, :k] * trans[1, j] for j in (0, 1)] for i in (0, 1)]
+            step = np.array([[x, y * now] for x, y in step])
+            m[:, :, :k] = step / step.sum((0, 1))
+        levels = np.split(before[np.argsort(self.number[before], kind="stable")], np.cumsum(np.bincount(self.number[before]))[:-1])
+        last = np.zeros((2, chains))
+        for level in levels:
+            here, behind = self.rank[level], self.rank[level + 1]
+            a = (forward[:, None, here] * m[:, :, np.searchsorted(own, here)]).sum(0)
+            last[:, here] = a / a.sum(0)
+            forward[:, behind] = trans.T @ last[:, here]
+        for level in levels[::-1]:
+            here, behind = self.rank[level], self.rank[level + 1]
+            b = (m[:, :, np.searchsorted(own, behind)] * backward[None, :, behind]).sum(1)
+            b /= b.sum(0)
+            joint = last[:, None, here] * trans[:, :, None] * b[None]
+            pairs += (joint / joint.sum((0, 1))).sum(2)
+            backward[:, here] = trans @ b
+        return forward, backward / backward.sum(0), pairs
+
     def marginals(self, e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each word's probability of being toxic, the expected number of each transition, and of each start.
 
@@ -81,22 +118,22 @@ class Chains:
         steps, chains = self.shape
         odds = np.ones(self.shape, np.float32)
         odds[self.place] = e
+        forward, backward, pairs = self.messages(odds, trans, start)
         alpha = np.zeros((steps, 2, chains), np.float32)
         for t in range(steps):
             k = self.active[t]
             if t == 0:
-                a0, a1 = np.full(k, start[0], np.float32), start[1] * odds[0, :k]
+                a0, a1 = forward[0, :k], forward[1, :k] * odds[0, :k]
             else:
                 p0, p1 = alpha[t - 1, 0, :k], alpha[t - 1, 1, :k]
                 a0, a1 = p0 * trans[0, 0] + p1 * trans[1, 0], (p0 * trans[0, 1] + p1 * trans[1, 1]) * odds[t, :k]
             total = a0 + a1
             alpha[t, 0, :k], alpha[t, 1, :k] = a0 / total, a1 / total
         marginal = np.zeros(self.shape, np.float32)
-        pairs = np.zeros((2, 2))
         b0 = b1 = np.empty(0, np.float32)
         for t in range(steps - 1, -1, -1):
             k, nxt = self.active[t], (self.active[t + 1] if t + 1 < steps else 0)
-            n0, n1 = np.ones(k, np.float32), np.ones(k, np.float32)
+            n0, n1 = backward[0, :k].copy(), backward[1, :k].copy()
             if nxt:
                 x0, x1 = b0[:nxt], b1[:nxt] * odds[t + 1, :nxt]
                 f0, f1 = alpha[t, 0, :nxt], alpha[t, 1, :nxt]
@@ -110,8 +147,8 @@ class Chains:
             b0, b1 = n0, n1
             m1 = alpha[t, 1, :k] * b1
             marginal[t, :k] = m1 / (m1 + alpha[t, 0, :k] * b0)
-        ones = float(marginal[0].sum()) if steps else 0.0
-        return marginal[self.place], pairs, np.array([chains - ones, ones])
+        ones = float(marginal[0, self.rank[self.opens]].sum()) if steps else 0.0
+        return marginal[self.place], pairs, np.array([self.opens.sum() - ones, ones])
 
 
 def evidence(chains: Chains, marginal: np.ndarray, n: int) -> np.ndarray:
@@ -194,7 +231,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
     for t in range(chains.shape[0] - 1):
         k = chains.active[t + 1]
         pairs += np.bincount(2 * grid[t, :k] + grid[t + 1, :k], minlength=4).reshape(2, 2)
-    first = np.array([chains.shape[1] - grid[0].sum(), grid[0].sum()], float) if chains.shape[0] else np.zeros(2)
+    cut = chains.first[~chains.opens]  # the first words of segments that go on a chain
+    pairs += np.bincount(2 * labels[cut - 1].astype(np.int64) + labels[cut].astype(np.int64), minlength=4).reshape(2, 2)
+    first = np.bincount(labels[chains.first[chains.opens]].astype(np.int64), minlength=2).astype(float)
     flat, held = at.ravel(), Counter(chains.words)
     held = np.array([held[w] for w in numbers], np.float32)
     weights = np.zeros(2**BITS)

@@ -110,3 +110,18 @@ def test_calibration():
     w = logistic(x[:, None], y, y.mean(), 1e-6)
     assert w == pytest.approx([-1, 2], abs=0.25)
     assert probability(x[:, None], w).mean() == pytest.approx(y.mean(), abs=0.02)
+
+
+def test_long_chains_are_not_cut(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("w" for _ in range(n)).encode() for n in (0, 1, 7, 8, 9, 16, 61, 200)] + [b"w w w\n" + b"w " * 33 + b"\n\nw"]
+    trans, start = np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.8, 0.2])
+    results = []
+    for size in (1000, 8, 5):
+        monkeypatch.setattr(t, "SEGMENT", size)
+        chains = t.Chains(texts)
+        odds = np.exp(np.random.default_rng(1).normal(0, 2, len(chains.words))).astype(np.float32)
+        results.append(chains.marginals(odds, trans, start))
+    for got in results[1:]:
+        for a, b in zip(got, results[0]):
+            assert np.allclose(a, b, atol=1e-4, rtol=1e-4)
