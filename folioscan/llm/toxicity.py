@@ -38,7 +38,7 @@ SEGMENT = 64
 STEPS = 25
 #: A feature marks words as toxic if so large a share of its places is in toxic documents (were half of all words in such),
 #: and if that is so unlikely to be chance (in nats).
-LEAST_SHARE, LEAST_SURPRISE = 0.85, 16.0
+LEAST_SHARE, LEAST_SURPRISE = 0.85, 11.0
 THRESHOLD = 0.3
 
 
