@@ -22,7 +22,7 @@ def finding(rows: DataFrame, checker: str, severity: str | Column, line: str | C
     none = F.lit(None).cast("string")
     text = lambda c: (none if c is None else c).cast("string")
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    ordinal = F.array(*[(F.col(o) if isinstance(o, str) else o if isinstance(o, Column) else F.lit(o)).cast("int") for o in order])
+    ordinal = F.array(*[(F.col(o) if isinstance(o, str) else o if isinstance(o, Column) else F.lit(o)).cast("bigint") for o in order])
     line = F.col(line) if isinstance(line, str) else line
     return rows.select("doc_path", F.lit(checker).alias("checker"), severity.alias("severity"), line.cast("int").alias("line"), message.alias("message"), text(suggestion).alias("suggestion"), text(excerpt).alias("excerpt"), text(file).alias("file"), ordinal.alias("ord"))
 
@@ -93,11 +93,15 @@ def figures(docs: DataFrame) -> DataFrame:
 
 
 def _clean_path(c: Column) -> Column:
-    """Without single dots and steps up."""
-    c = F.regexp_replace(F.regexp_replace(c, r"/(?:\./)+", "/"), r"^(?:\./)+", "")
-    for _ in range(4):
-        c = F.regexp_replace(c, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return c
+    """Without single dots and steps up: the parts of a path are taken in turn, and a step up takes the name before it away."""
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        up = (part == "..") & ~F.coalesce(last.isin("", ".."), F.lit(True))
+        return F.when(part == ".", kept).when(up, F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(c, "/"), none, step), "/")
 
 
 def image_candidates(images: DataFrame) -> DataFrame:

@@ -155,6 +155,6 @@ def inline_bibitems(docs: DataFrame, line_map: DataFrame | None = None) -> DataF
     """Bibliography entries of bibliography blocks inside the sources, comments included."""
     blocks = _source(docs).where(F.contains("source", F.lit(t.BIBLIOGRAPHY))).select("doc_path", F.posexplode(t.occurrences(F.col("source"), BIB_BLOCK)).alias("block", "b"))
     items = blocks.select("doc_path", "block", F.col("b.line").alias("from_line"), F.posexplode(t.occurrences(F.col("b.text"), BIB_ITEM, 1)).alias("item", "m"))
-    rows = items.select("doc_path", (F.col("block") * 100_000 + F.col("item")).alias("bib_idx"), t.strip(F.col("m.g1")).alias("key"), F.lit("bibitem").alias("entry_type"), (F.col("from_line") + F.col("m.line") - 1).alias("line"), title_guess(F.col("m.tail")).alias("title"))
+    rows = items.select("doc_path", (F.col("block").cast("bigint") * 10**12 + F.col("item")).alias("bib_idx"), t.strip(F.col("m.g1")).alias("key"), F.lit("bibitem").alias("entry_type"), (F.col("from_line") + F.col("m.line") - 1).alias("line"), title_guess(F.col("m.tail")).alias("title"))
     rows = to_origin(rows.where("key <> ''"), line_map, "line")
     return rows.select("doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", F.lit("").alias("author"), F.lit("").alias("eprint"), F.lit("").alias("doi"))

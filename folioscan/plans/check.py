@@ -43,7 +43,7 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
         entries = docs.select("doc_path").crossJoin(bibs)  # every document is checked against all the files given
     else:
         named = checks.missing_bib_files(docs, listing).where("found").select("doc_path", "res_idx", "path").withColumnRenamed("path", "file")
-        entries = named.join(bibs, "file").selectExpr("doc_path", "res_idx * 100000 + bib_idx AS bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi")
+        entries = named.join(bibs, "file").selectExpr("doc_path", "CAST(res_idx AS bigint) * 1000000000000 + bib_idx AS bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi")
     columns = ["doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi"]
     entries = bib.with_fallback(entries.select(columns), parse.inline_bibitems(docs, lines).select(columns))
     return Corpus(docs, entries, listing, lines)

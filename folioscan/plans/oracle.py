@@ -83,7 +83,7 @@ SECTIONS = f"""sections AS (SELECT doc_path, idx AS sec_idx, trim(g1) AS title,
 _ITEM = r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]+)\}"
 _BLOCK = r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}"
 INLINE = f"""blocks AS (SELECT doc_path, idx AS block, line AS base, text AS inner_text FROM ({matches('tex', 'source', _BLOCK)}) m),
-inline_items AS (SELECT doc_path, block * 100000 + idx AS bib_idx, trim(g1) AS key, base + line - 1 AS line, trim(coalesce(nullif(regexp_extract(tail, '``([^'']+?)''''', 1), ''), regexp_extract(tail, '\\\\(?:textit|emph|textbf)\\s*\\{{([^}}]+)\\}}', 1))) AS title FROM ({matches('blocks', 'inner_text', _ITEM, 1, keep='doc_path, block, base')}) n)"""
+inline_items AS (SELECT doc_path, block * 1000000000000 + idx AS bib_idx, trim(g1) AS key, base + line - 1 AS line, trim(coalesce(nullif(regexp_extract(tail, '``([^'']+?)''''', 1), ''), regexp_extract(tail, '\\\\(?:textit|emph|textbf)\\s*\\{{([^}}]+)\\}}', 1))) AS title FROM ({matches('blocks', 'inner_text', _ITEM, 1, keep='doc_path, block, base')}) n)"""
 BIB = f"bib AS (SELECT bib_key AS key, entry_type, file, line, title, eprint, doi FROM ({d.BIB_ROWS}) b), ranked AS (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS first_line, row_number() OVER (PARTITION BY key ORDER BY line DESC) AS n_last FROM bib WINDOW w AS (PARTITION BY key ORDER BY line))"
 INCLUDES = rf"""files AS ({d.INCLUDE_FILES}),
 flines AS (SELECT path, i AS line, parts[i] AS text FROM (SELECT path, parts, unnest(range(1, len(parts))) AS i FROM (SELECT path, string_split(source, chr(10)) AS parts FROM files) x) y),
@@ -99,9 +99,9 @@ ALL_INCLUDES = INCLUDES.replace(" WHERE path IN ('p0.tex', 'p3.tex')", "")  # ev
 PAPERS = f"""hits AS ({d.PAPER_HITS}), papers AS (SELECT query, {strip('title')} AS title, CAST(year AS BIGINT) AS year, {strip('abstract')} AS abstract, coalesce(nullif(url, ''), arxiv) AS url FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY (lower({strip('title')}) = lower({strip('query')})) DESC, hit_rank) AS n FROM hits) x WHERE n = 1 AND title <> '')"""
 _NONE = "CAST(NULL AS VARCHAR)"
-GRAMMAR = rf"""WITH docs AS (SELECT doc_id, text, 'd' || CAST(doc_id AS VARCHAR) AS doc_path FROM documents WHERE instr(text, '"') = 0 AND {PROSE})
+GRAMMAR = rf"""WITH docs AS (SELECT doc_id, text, 'd' || CAST(doc_id AS VARCHAR) AS doc_path FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) t WHERE {PROSE})
 SELECT doc_path, 'grammar' AS checker, severity, CAST(5 AS BIGINT) AS line, message, excerpt, {_NONE} AS file FROM (
-  SELECT doc_path, 'info' AS severity, 'm' AS message, nullif({strip("substr(split_part(text, chr(10), 1), 1, 8)")}, '') AS excerpt FROM docs WHERE doc_id % 4 = 1
+  SELECT doc_path, 'info' AS severity, 'm' AS message, nullif({strip("substr(replace(split_part(text, chr(10), 1), chr(34), ''), 1, 8)")}, '') AS excerpt FROM docs WHERE doc_id % 4 = 1
   UNION ALL SELECT doc_path, 'warning', 'vague', {_NONE} FROM docs WHERE doc_id % 4 = 2 UNION ALL SELECT doc_path, 'warning', 'second', {_NONE} FROM docs WHERE doc_id % 4 = 2
   UNION ALL SELECT doc_path, 'warning', 'm', chr(92) || 'cite{{x}}' FROM docs WHERE doc_id % 4 = 3) r"""
 CLAIMS = rf"""WITH {BODY}, {PARAGRAPHS}, {BIB}, {PAPERS},

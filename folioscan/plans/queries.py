@@ -223,17 +223,15 @@ def bib_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _includes(spark: SparkSession, sf: str) -> DataFrame:
-    sources = d.relation(spark, sf, d.INCLUDE_FILES)
-    roots = sources.where("path IN ('p0.tex', 'p3.tex')").selectExpr("path AS doc_path")
-    return files.expand_includes(sources, roots)
+    return _all_includes(spark, sf)
 
 
-@query(f"WITH RECURSIVE {o.INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
+@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
 def include_expand(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(_includes(spark, sf).select("doc_path", "combined_line", "text"))
 
 
-@query(f"WITH RECURSIVE {o.INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
+@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
 def line_origin(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(_includes(spark, sf).select("doc_path", "combined_line", "origin_file", "origin_line"))
 
@@ -305,7 +303,7 @@ def _canned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(o.GRAMMAR)
 def grammar_findings(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.relation(spark, sf, "SELECT doc_id, text FROM documents").where("instr(text, '\"') = 0")
+    docs = d.relation(spark, sf, "SELECT doc_id, coalesce(text, '') AS text FROM documents")
     paras = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_path"), F.lit(0).alias("para_idx"), "text", F.lit(5).alias("start_line"), F.lit(None).cast("string").alias("file"))
     units = replies.grammar_units(paras)
     canned = _canned(spark, sf).select(F.concat(F.lit("grammar#d"), F.col("doc_id").cast("string"), F.lit("#0")).alias("request_id"), "raw")

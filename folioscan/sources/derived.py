@@ -80,10 +80,10 @@ FROM pages"""
 
 GRAMMAR_REPLIES = """SELECT doc_id, CASE doc_id % 4
   WHEN 0 THEN '{"issues": []}'
-  WHEN 1 THEN concat('```json', chr(10), '{"issues": [{"excerpt": "', substring(split_part(text, chr(10), 1), 1, 8), '", "message": "m", "severity": "info"}]}', chr(10), '```')
+  WHEN 1 THEN concat('```json', chr(10), '{"issues": [{"excerpt": "', substring(replace(split_part(coalesce(text, ''), chr(10), 1), '"', ''), 1, 8), '", "message": "m", "severity": "info"}]}', chr(10), '```')
   WHEN 2 THEN '{"issues": [{"message": "vague", "severity": "BOGUS"}, {"message": "second"}]}'
   ELSE concat('Sure: {"issues": [{"excerpt": "', chr(92), 'cite{x}", "message": "m"}]} done') END AS raw
-FROM documents WHERE instr(text, '"') = 0"""
+FROM documents"""
 
 
 def _spread(table: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.operators import checks, parse, report
 from folioscan.rules import RULES
@@ -95,3 +96,9 @@ def test_empty_documents(docs_of, spark, source):
     for df in (checks.artifacts(docs), checks.figures(docs), checks.images(docs, files)):
         assert df.count() == 0
     assert parse.sections(docs).count() == 1
+
+
+def test_paths_with_many_steps_up(spark):
+    cases = {"a/b/c/d/e/f/../../../../../../x.png": "x.png", "./a/./b.png": "a/b.png", "../x.png": "../x.png", "a/../../x.png": "../x.png", "/../x.png": "/../x.png", "/a/b/../x.png": "/a/x.png"}
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", checks._clean_path(F.col("p")).alias("x")).collect()
+    assert {r.p: r.x for r in got} == cases
