@@ -29,9 +29,11 @@ _ARROW_DEFAULT = "67108864b"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder (spark.checkpoint.dir), which is set here only where it is unset."""
+    """A new folder in the cluster's shared folder (spark.checkpoint.dir), which is set here only where it is unset, and only if all of Spark runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="folioscan-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
