@@ -47,7 +47,7 @@ CITES = f"""cites AS (SELECT doc_path, row_number() OVER (PARTITION BY doc_path
   SELECT doc_path, idx, line, k, trim(keys[k]) AS key FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS k FROM (SELECT *, string_split(g1, ',') AS keys FROM ({matches('(SELECT doc_path, ' + strip_comments('source') + ' AS s FROM tex)', 's', CITE, 1)}) m) n) o) q WHERE key <> '')"""
 RESOURCES = r"""resources AS (SELECT doc_path, i - 1 AS res_idx, names[i] AS name FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (
   SELECT doc_path, list_concat(flatten([[trim(n) for n in string_split(x, ',')] for x in regexp_extract_all(source, '\\bibliography\{([^}]+)\}', 1)]), regexp_extract_all(source, '\\addbibresource\{([^}]+)\}', 1)) AS names FROM tex) a) b)"""
-GRAPHICS = "graphics AS (SELECT doc_path, idx AS img_idx, trim(g1) AS raw_path, line FROM (" + matches("tex", "source", r"\\includegraphics(?:\s*\[[^\]]*\])?\s*\{([^}]+)\}", 1) + ") m)"
+GRAPHICS = "graphics AS (SELECT doc_path, idx AS img_idx, trim(g1) AS raw_path, line FROM (" + matches("tex", "source", r"\\includegraphics(?:\s*\[[^\]]*\])?\s*\{([^}]+)\}", 1) + ") m WHERE NOT regexp_matches(lower(trim(g1)), '[.](tex|cls|sty|bib|bst)$'))"
 REFS = r"refs AS (SELECT DISTINCT doc_path, trim(unnest(regexp_extract_all(source, '\\ref\s*\{([^}]*)\}', 1))) AS label FROM tex)"
 _FLOAT = r"(?s)\\begin\{figure\*?\}\s+(.*?)\s+\\end\{figure\*?\}|\\begin\{table\*?\}\s+(.*?)\s+\\end\{table\*?\}"
 _CAPTION = r"\\caption\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"
@@ -114,9 +114,19 @@ SELECT doc_path, 'claims' AS checker, CASE WHEN state <> 'ready' THEN 'info' WHE
     ELSE CASE WHEN para_idx % 3 = 1 THEN '[contradicts] claim ''it holds'' vs ' || key || ': r' ELSE '[unclear] claim ''it holds'' vs ' || key || ': ' END END AS message, {_NONE} AS excerpt, doc_path AS file
 FROM j WHERE state <> 'ready' OR para_idx % 3 <> 0"""
 FINDINGS = f"""{TEX}, {FLOATS}, {LABELS}, {REFS}, {GRAPHICS}, listing AS ({d.IMAGE_FILES}), ordered AS (
-  SELECT doc_path, 'figures' AS checker, 'error' AS severity, start_line AS line, [0, float_idx, 0, 0] AS ord FROM floats WHERE caption IS NULL
-  UNION ALL SELECT doc_path, 'figures', 'error', start_line, [0, float_idx, 1, 0] FROM floats WHERE regexp_matches(caption, '{CAPTIONS}')
-  UNION ALL SELECT doc_path, 'figures', 'warning', line, [0, float_idx, 2, label_idx] FROM labels l WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_path = l.doc_path AND r.label = l.label)
-  UNION ALL SELECT doc_path, 'figures', 'warning', start_line, [0, float_idx, 3, 0] FROM floats WHERE {NEAR_EMPTY}
-  UNION ALL SELECT doc_path, 'images', 'error', line, [1, img_idx, 0, 0] FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing)),
-findings AS (SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY ord) AS seq, checker, severity, line FROM ordered)"""
+  SELECT doc_path, 'figures' AS checker, 'error' AS severity, start_line AS line, [0, float_idx, 0, 0] AS ord, env_type || ' is missing a ' || chr(92) || 'caption{{}}' AS message, {_NONE} AS excerpt, 'Give this float a caption that says what it shows.' AS suggestion FROM floats WHERE caption IS NULL
+  UNION ALL SELECT doc_path, 'figures', 'error', start_line, [0, float_idx, 1, 0], env_type || ' has a placeholder caption: ' || substr(caption, 1, 60), substr(caption, 1, 80), 'Put a real caption here.' FROM floats WHERE regexp_matches(caption, '{CAPTIONS}')
+  UNION ALL SELECT doc_path, 'figures', 'warning', line, [0, float_idx, 2, label_idx], env_type || ' label ''' || label || ''' is not referenced by any ' || chr(92) || 'ref{{}}', {_NONE}, 'Refer to it with ' || chr(92) || 'ref{{' || label || '}}, or drop the label.' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_path = l.doc_path AND r.label = l.label)
+  UNION ALL SELECT doc_path, 'figures', 'warning', start_line, [0, float_idx, 3, 0], 'Near-empty ' || env_type || ' at line ' || CAST(start_line AS VARCHAR) || ': nothing of substance inside', {_NONE}, 'Add an image, a table or a diagram.' FROM floats WHERE {NEAR_EMPTY}
+  UNION ALL SELECT doc_path, 'images', 'error', line, [1, img_idx, 0, 0], 'Image file not found: ''' || raw_path || '''', substr(raw_path, 1, 80), 'Add the file for ' || chr(92) || 'includegraphics{{' || raw_path || '}}, or drop the command.' FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing)),
+findings AS (SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY ord) AS seq, checker, severity, line, message, excerpt, suggestion FROM ordered)"""
+REPORT_TEXT = f"""WITH {FINDINGS}, shown AS (SELECT doc_path, line, checker, seq, unnest([0, 1, 2]) AS part, unnest([
+    severity || ' ' || doc_path || ':' || CAST(line AS VARCHAR) || ' ' || checker || ' ' || message, '    > ' || excerpt, '    suggest: ' || suggestion]) AS text FROM findings),
+n AS (SELECT tex.doc_path, count(f.seq) AS n FROM tex LEFT JOIN findings f USING (doc_path) GROUP BY ALL),
+placed AS (SELECT doc_path, [0, line] AS a, checker AS b, [seq, part] AS c, text FROM shown WHERE text IS NOT NULL
+  UNION ALL SELECT doc_path, [1, 0], '', [0, 0], '' FROM n WHERE n > 0 UNION ALL SELECT doc_path, [1, 1], '', [0, 0], CAST(n AS VARCHAR) || ' issue(s)' FROM n WHERE n > 0
+  UNION ALL SELECT doc_path, [1, 2], '', [0, 0], doc_path || ': no issues found' FROM n WHERE n = 0)
+SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY a, b, c) - 1 AS line_no, text FROM placed"""
+#: What the rules must find in the planted texts, said by the texts and not by the patterns.
+RULE_FINDINGS = f"""SELECT concat('d', CAST(doc_id AS STRING), '.tex') AS doc_path, doc_id % 20 + 1 AS rule, doc_id % 40 >= 20 AS in_preamble,
+  CASE WHEN doc_id % 20 < 15 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN doc_id % 40 >= 20 THEN 2 ELSE 4 END + doc_id % 3 AS line, {d.rule_case(1)} AS excerpt FROM documents"""

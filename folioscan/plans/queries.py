@@ -142,6 +142,14 @@ def artifact_preamble(spark: SparkSession, sf: str) -> DataFrame:
     return _artifacts(spark, sf, "error", "preamble")
 
 
+@query(o.RULE_FINDINGS)
+def artifact_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule on texts planted for it, in body and preamble."""
+    rows = checks.artifacts(d.relation(spark, sf, d.RULE_DOCS).select("doc_path", "source"))
+    order = F.col("ord")
+    return _longs(rows.select("doc_path", (order[2] + 1).alias("rule"), (order[0] == 1).alias("in_preamble"), "severity", "line", "excerpt"))
+
+
 def _all(cites: DataFrame) -> DataFrame:
     return cites.withColumn("doc_path", F.lit("all"))
 
@@ -361,13 +369,14 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(j.alias("j")).select("j.file", "j.total", count("error").alias("errors"), count("warning").alias("warnings"), severities.alias("severities"))
 
 
-@query(f"WITH {o.BODY}, {o.PARAGRAPHS} SELECT doc_path, count(*) AS n_paragraphs FROM paragraphs GROUP BY ALL")
+@query(f"""WITH {o.BODY}, {o.PARAGRAPHS}, {o.INLINE}, p AS (SELECT doc_path, count(*) AS n FROM paragraphs GROUP BY ALL), e AS (SELECT doc_path, count(*) AS n FROM inline_items GROUP BY ALL)
+SELECT tex.doc_path, coalesce(p.n, 0) AS n_paragraphs, coalesce(e.n, 0) AS n_entries, CASE WHEN e.n > 0 THEN 1 ELSE 0 END AS n_bib_files FROM tex LEFT JOIN p USING (doc_path) LEFT JOIN e USING (doc_path)""")
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return report.run_stats(docs, parse.paragraphs(docs), parse.inline_bibitems(docs)).select("doc_path", "n_paragraphs")
+    return report.run_stats(docs, parse.paragraphs(docs), parse.inline_bibitems(docs))
 
 
-@query()
+@query(o.REPORT_TEXT)
 def report_text(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(report.report_lines(_docs(spark, sf), _findings(spark, sf)))
 

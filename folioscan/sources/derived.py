@@ -22,7 +22,7 @@ TEX_DOCS = """SELECT doc_id, concat('d', CAST(doc_id AS STRING), '.tex') AS doc_
       WHEN 1 THEN concat(chr(92), 'lipsum[1-2]')
       WHEN 2 THEN 'TODO: add the missing numbers.'
       WHEN 3 THEN concat('% ', chr(92), 'cite{hidden', CAST(doc_id AS STRING), '}')
-      WHEN 4 THEN 'Would you like me to expand on this?'
+      WHEN 4 THEN concat('Would you like me to expand on this? ', chr(92), 'includegraphics{extra.TEX}')
       ELSE 'A plain closing sentence.' END, chr(10), chr(10),
     chr(92), 'section*{Closing}', chr(10),
     CASE doc_id % 5
@@ -39,13 +39,54 @@ TEX_DOCS = """SELECT doc_id, concat('d', CAST(doc_id AS STRING), '.tex') AS doc_
     chr(92), 'end{document}', chr(10)) AS source
 FROM documents"""
 
-BIB_ROWS = """SELECT concat('item', CAST(item_id AS STRING)) AS bib_key, 'article' AS entry_type, 'refs.bib' AS file,
-  CAST(item_id * 6 + rep * 3 + 1 AS INT) AS line,
+BIB_ROWS = """SELECT concat(CASE WHEN rep = 2 THEN 'spare' ELSE 'item' END, CAST(item_id AS STRING)) AS bib_key, 'article' AS entry_type, 'refs.bib' AS file,
+  CAST(item_id * 6 + rep * 2 + 1 AS INT) AS line,
   CASE WHEN item_id % 11 = 0 THEN '' ELSE substring(text, 1, 40) END AS title,
   CASE WHEN item_id % 3 = 0 THEN concat('2401.', CAST(10000 + item_id AS STRING)) ELSE '' END AS eprint,
   CASE WHEN item_id % 3 = 1 THEN concat('10.1000/', CAST(item_id AS STRING)) ELSE '' END AS doi
-FROM benchmark CROSS JOIN (SELECT 0 AS rep UNION ALL SELECT 1 AS rep) r
-WHERE rep = 0 OR item_id % 9 = 0"""
+FROM benchmark CROSS JOIN (SELECT 0 AS rep UNION ALL SELECT 1 AS rep UNION ALL SELECT 2 AS rep) r
+WHERE rep = 0 OR (rep = 1 AND item_id % 9 = 0) OR (rep = 2 AND item_id % 10 = 5)"""
+
+#: One text for each artifact rule in turn, and what the rule must show of it.
+RULE_TEXTS = (
+    ("'Here is a 200-word summary of it.'", "'Here is a 200-word summary'"),
+    ("'Would you like me to make changes now?'", "'Would you like me to make changes'"),
+    ("concat('I', chr(39), 'd be happy to help.')", "concat('I', chr(39), 'd be happy to')"),
+    ("'So Id be glad to go on.'", "'Id be glad to'"),
+    ("'Fill in the actual values later.'", "'Fill in the actual values'"),
+    ("'These results are illustrative only.'", "'These results are illustrative'"),
+    ("'This is a draft section.'", "'This is a draft section'"),
+    ("'Please insert your text here.'", "'insert your text here'"),
+    ("'See [insert figure below].'", "'[insert figure below]'"),
+    ("'As an AI assistant it ends.'", "'As an AI assistant'"),
+    ("'I do not have access to the internet.'", "'I do not have access to the internet'"),
+    ("concat('I can', chr(39), 't provide it.')", "concat('I can', chr(39), 't provide')"),
+    ("concat('I', chr(39), 'm sorry, but I stop.')", "concat('I', chr(39), 'm sorry, but I')"),
+    ("concat(chr(92), 'caption{Your caption here}')", "concat(chr(92), 'caption{Your caption here}')"),
+    ("concat(chr(92), 'label{fig:xxx}')", "concat(chr(92), 'label{fig:xxx}')"),
+    ("concat(chr(92), 'lipsum[1-2] and more')", "concat(chr(92), 'lipsum[1-2]')"),
+    ("concat(chr(92), 'blindtext[2]')", "concat(chr(92), 'blindtext[2]')"),
+    ("'TODO: write the end.'", "'TODO: write'"),
+    ("'A FIXME is left.'", "'FIXME'"),
+    (
+        "concat(chr(92), 'begin{tabular}{ll}', chr(10), 'One & 1', chr(92), chr(92), chr(10), 'Two & 2', chr(92), chr(92), chr(10), 'Six & 6', chr(92), chr(92), chr(10), chr(92), 'end{tabular}')",
+        "concat(chr(92), 'begin{tabular}{ll}', chr(10), 'One & 1', chr(92), chr(92), chr(10), 'Two & 2', chr(92), chr(92), chr(10), 'Six & 6')",
+    ),
+)
+
+
+def rule_case(place: int) -> str:
+    """The text (0) or what is to be shown of it (1), by the document's number."""
+    return "CASE doc_id % 20 " + " ".join(f"WHEN {k} THEN {texts[place]}" for k, texts in enumerate(RULE_TEXTS)) + " END"
+
+
+#: The texts stand in the body of half of the documents and in the preamble of the others, on different lines.
+RULE_DOCS = f"""SELECT doc_id, concat('d', CAST(doc_id AS STRING), '.tex') AS doc_path, concat(chr(92), 'documentclass{{article}}', chr(10),
+    CASE WHEN doc_id % 40 >= 20 THEN concat(repeat(chr(10), CAST(doc_id % 3 AS INT)), {rule_case(0)}, chr(10)) ELSE '' END,
+    chr(92), 'begin{{document}}', chr(10), 'Plain words.', chr(10),
+    CASE WHEN doc_id % 40 < 20 THEN concat(repeat(chr(10), CAST(doc_id % 3 AS INT)), {rule_case(0)}, chr(10)) ELSE '' END,
+    chr(92), 'end{{document}}', chr(10)) AS source
+FROM documents"""
 
 BIB_FILES = """SELECT concat('b', CAST(item_id AS STRING), '.bib') AS path,
   concat('@string{who = "Some Body"}', chr(10), '% @book{hidden,', chr(10), '@Article{item', CAST(item_id AS STRING), ',', chr(10),
