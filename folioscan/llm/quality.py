@@ -71,6 +71,21 @@ class Grams:
         return codes >> BITS, codes & (2**BITS - 1)
 
 
+def in_pieces(grams: Grams, texts: list[bytes], size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """What grams gives for the texts, made from about size bytes at a time, so that only the features of a whole sample stay in memory."""
+    of, features, start = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    while start < len(texts):
+        end, n = start + 1, len(texts[start])
+        while end < len(texts) and n + len(texts[end]) <= size:
+            n += len(texts[end])
+            end += 1
+        text, feature = grams(texts[start:end])
+        of.append((text + start).astype(np.int32))
+        features.append(feature.astype(np.int32))
+        start = end
+    return np.concatenate(of), np.concatenate(features)
+
+
 def log_count_ratios(text: np.ndarray, feature: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     p, q = (smooth + np.bincount(feature[y[text] == c], minlength=2**BITS) for c in (1, 0))
     return np.log(p / p.sum()) - np.log(q / q.sum())
@@ -124,19 +139,20 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> Model:
     for c in (0, 1):
         other[np.flatnonzero(y == c)[::4]] = True
     grams, own = Grams(), np.flatnonzero(~other)
-    text, feature = grams([texts[i] for i in own])
+    text, feature = in_pieces(grams, [texts[i] for i in own])
     model.ratio = log_count_ratios(text, feature, y[own]).astype(np.float32)
     edges = np.searchsorted(text, np.arange(len(own) + 1))
     rows = []
     for a, b in zip(edges[:-1], edges[1:]):
         v = model.ratio[feature[a:b]].astype(np.float64)
-        rows.append((np.append(feature[a:b], 2**BITS), np.append(v / (np.sqrt(v @ v) + 1e-9), 1.0)))
+        rows.append((np.append(feature[a:b], np.int32(2**BITS)), np.append(v / (np.sqrt(v @ v) + 1e-9), 1.0)))
+    del text, feature
     sign = np.where(y[own] > 0, 1.0, -1.0)
     cost = COST * np.where(sign > 0, len(own) / (2 * (sign > 0).sum()), len(own) / (2 * (sign < 0).sum()))
     w = dual_coordinate_descent(rows, sign, 2**BITS + 1, cost)
     model.weight, model.bias = w[:-1].astype(np.float32), float(w[-1])
     held = np.flatnonzero(other)
-    model.calibration = logistic(model.margins(*grams([texts[i] for i in held]), len(held))[:, None], y[held], share)
+    model.calibration = logistic(model.margins(*in_pieces(grams, [texts[i] for i in held]), len(held))[:, None], y[held], share)
     return model
 
 
