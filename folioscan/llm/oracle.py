@@ -52,3 +52,18 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN scores USING
 EXACT = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+#: Every window of 100 bytes (200 digits of hex) that is not the first of its kind covers bytes that go.
+SUFFIXES = """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, substr(h, 2 * s - 1, 200) AS bytes FROM (SELECT r, h, unnest(range(1, length(h) // 2 - 98)) AS s FROM d) x),
+again AS (SELECT r, s FROM w QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY r, s) > 1),
+spans AS (SELECT r, min(s) AS lo, max(s) + 99 AS hi FROM (
+  SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM (
+    SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again) x) y GROUP BY r, run),
+parts AS (SELECT d.r, lo, substr(h, 2 * before + 1, 2 * (lo - 1 - before)) AS kept FROM (
+  SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM spans) x JOIN d USING (r)),
+gone AS (SELECT r, string_agg(kept, '' ORDER BY lo) AS kept FROM parts GROUP BY r),
+sums AS (SELECT r, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN sums USING (r)"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op9_exact_dedup": oracle.EXACT}
+    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op4_suffix_dedup": oracle.SUFFIXES, "op9_exact_dedup": oracle.EXACT}
