@@ -62,7 +62,8 @@ _BEGIN = "'" + chr(92) + "begin{document}'"
 _REST = f"substr(source, instr(source, {_BEGIN}) + 17)"
 _CUT = "CASE WHEN instr(rest, '" + chr(92) + "begin{thebibliography}') > 0 THEN least(instr(rest, '" + chr(92) + "begin{thebibliography}'), instr(rest, '" + chr(92) + "end{document}')) ELSE instr(rest, '" + chr(92) + "end{document}') END"
 BODY = f"{TEX}, body AS (SELECT doc_path, substr(rest, 1, {_CUT} - 1) AS body, 1 + {newlines('substr(source, 1, length(source) - length(rest))')} AS start_line FROM (SELECT doc_path, source, {_REST} AS rest FROM tex) x)"
-PREAMBLE = f"{TEX}, preamble AS (SELECT doc_path, split_part(source, {_BEGIN}, 1) AS preamble, 1 AS start_line FROM tex)"
+_PREAMBLE = f"preamble AS (SELECT doc_path, split_part(source, {_BEGIN}, 1) AS preamble, 1 AS start_line FROM tex)"
+PREAMBLE = f"{TEX}, {_PREAMBLE}"
 
 
 def artifacts(column: str, severity: str) -> str:
@@ -113,12 +114,13 @@ SELECT doc_path, 'claims' AS checker, CASE WHEN state <> 'ready' THEN 'info' WHE
     WHEN 'unfound' THEN 'Could not retrieve abstract for ''' || key || ''' (''' || replace(title, chr(10), '\n') || '''); claim not checked.' WHEN 'empty' THEN 'The record found for ''' || key || ''' has no abstract; claim not checked.'
     ELSE CASE WHEN para_idx % 3 = 1 THEN '[contradicts] claim ''it holds'' vs ' || key || ': r' ELSE '[unclear] claim ''it holds'' vs ' || key || ': ' END END AS message, {_NONE} AS excerpt, doc_path AS file
 FROM j WHERE state <> 'ready' OR para_idx % 3 <> 0"""
-FINDINGS = f"""{TEX}, {FLOATS}, {LABELS}, {REFS}, {GRAPHICS}, listing AS ({d.IMAGE_FILES}), ordered AS (
+_ORDERED = f"""{FLOATS}, {LABELS}, {REFS}, {GRAPHICS}, listing AS ({d.IMAGE_FILES}), ordered AS (
   SELECT doc_path, 'figures' AS checker, 'error' AS severity, start_line AS line, [0, float_idx, 0, 0] AS ord, env_type || ' is missing a ' || chr(92) || 'caption{{}}' AS message, {_NONE} AS excerpt, 'Give this float a caption that says what it shows.' AS suggestion FROM floats WHERE caption IS NULL
   UNION ALL SELECT doc_path, 'figures', 'error', start_line, [0, float_idx, 1, 0], env_type || ' has a placeholder caption: ' || substr(caption, 1, 60), substr(caption, 1, 80), 'Put a real caption here.' FROM floats WHERE regexp_matches(caption, '{CAPTIONS}')
   UNION ALL SELECT doc_path, 'figures', 'warning', line, [0, float_idx, 2, label_idx], env_type || ' label ''' || label || ''' is not referenced by any ' || chr(92) || 'ref{{}}', {_NONE}, 'Refer to it with ' || chr(92) || 'ref{{' || label || '}}, or drop the label.' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_path = l.doc_path AND r.label = l.label)
   UNION ALL SELECT doc_path, 'figures', 'warning', start_line, [0, float_idx, 3, 0], 'Near-empty ' || env_type || ' at line ' || CAST(start_line AS VARCHAR) || ': nothing of substance inside', {_NONE}, 'Add an image, a table or a diagram.' FROM floats WHERE {NEAR_EMPTY}
-  UNION ALL SELECT doc_path, 'images', 'error', line, [1, img_idx, 0, 0], 'Image file not found: ''' || raw_path || '''', substr(raw_path, 1, 80), 'Add the file for ' || chr(92) || 'includegraphics{{' || raw_path || '}}, or drop the command.' FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing)),
+  UNION ALL SELECT doc_path, 'images', 'error', line, [1, img_idx, 0, 0], 'Image file not found: ''' || raw_path || '''', substr(raw_path, 1, 80), 'Add the file for ' || chr(92) || 'includegraphics{{' || raw_path || '}}, or drop the command.' FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing))"""
+FINDINGS = f"""{TEX}, {_ORDERED},
 findings AS (SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY ord) AS seq, checker, severity, line, message, excerpt, suggestion FROM ordered)"""
 REPORT_TEXT = f"""WITH {FINDINGS}, shown AS (SELECT doc_path, line, checker, seq, unnest([0, 1, 2]) AS part, unnest([
     severity || ' ' || doc_path || ':' || CAST(line AS VARCHAR) || ' ' || checker || ' ' || message, '    > ' || excerpt, '    suggest: ' || suggestion]) AS text FROM findings),
@@ -130,3 +132,34 @@ SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY a, b, c) - 1
 #: What the rules must find in the planted texts, said by the texts and not by the patterns.
 RULE_FINDINGS = f"""SELECT concat('d', CAST(doc_id AS STRING), '.tex') AS doc_path, doc_id % 20 + 1 AS rule, doc_id % 40 >= 20 AS in_preamble,
   CASE WHEN doc_id % 20 < 15 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN doc_id % 40 >= 20 THEN 2 ELSE 4 END + doc_id % 3 AS line, {d.rule_case(1)} AS excerpt FROM documents"""
+
+
+def _artifact_part(part: int, level: int, column: str, severity: str) -> str:
+    return f"SELECT doc_path, 1 AS place, [{part}, {level}, rule_idx, match_idx] AS ord, 'artifacts' AS checker, '{severity}' AS severity, line, message, excerpt, {_NONE} AS file FROM (WITH {artifacts(column, severity)} SELECT * FROM found) f{part}{level}"
+
+
+#: All eight checks; each document has the bibliography that it names, else the one inside it.
+WHOLE = rf"""WITH {BODY}, {_PREAMBLE}, {CITES}, {RESOURCES}, {INLINE}, {BIB}, {PARAGRAPHS}, {SECTIONS}, {PAPERS}, {_ORDERED}, v AS ({d.VERIFICATION_ROWS}),
+own AS (SELECT doc_path, line AS bib_idx, key, 'refs.bib' AS file, line, title, eprint, doi FROM (SELECT doc_path FROM resources WHERE name = 'refs') r, bib),
+entries AS (SELECT * FROM own UNION ALL SELECT doc_path, bib_idx, key, doc_path, line, title, '', '' FROM inline_items WHERE doc_path NOT IN (SELECT doc_path FROM own)),
+defined AS (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS first_line, first_value(bib_idx) OVER w AS first_idx, first_value(CASE WHEN eprint <> '' THEN eprint ELSE doi END) OVER w AS target,
+  row_number() OVER (PARTITION BY doc_path, key ORDER BY bib_idx DESC) AS n_last FROM entries WINDOW w AS (PARTITION BY doc_path, key ORDER BY bib_idx)),
+prose AS (SELECT *, instr(text, 'See') AS pos FROM paragraphs WHERE {PROSE}),
+cited AS (SELECT doc_path, para_idx, start_line, list_sort([trim(k) for k in string_split(regexp_extract(text, '{CITE}', 1), ',')])[1] AS key FROM paragraphs WHERE regexp_matches(text, '{CITE}')),
+judged AS (SELECT c.*, e.title, CASE WHEN e.key IS NULL THEN 'unknown' WHEN e.title = '' THEN 'untitled' WHEN p.query IS NULL THEN 'unfound' WHEN p.abstract = '' THEN 'empty' ELSE 'ready' END AS state
+  FROM cited c LEFT JOIN (SELECT * FROM defined WHERE n_last = 1) e USING (doc_path, key) LEFT JOIN papers p ON p.query = e.title),
+everything AS ({_artifact_part(0, 0, "body", "error")} UNION ALL {_artifact_part(0, 1, "body", "warning")} UNION ALL {_artifact_part(1, 0, "preamble", "error")} UNION ALL {_artifact_part(1, 1, "preamble", "warning")}
+  UNION ALL SELECT doc_path, CASE checker WHEN 'figures' THEN 2 ELSE 3 END, ord, checker, severity, line, message, excerpt, {_NONE} FROM ordered
+  UNION ALL SELECT doc_path, 4, [0, cite_idx, 0], 'citations', 'error', line, 'Cited key ''' || key || ''' not found in the bibliography.', chr(92) || 'cite{{' || key || '}}', {_NONE} FROM cites c WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_path = c.doc_path AND e.key = c.key)
+  UNION ALL SELECT doc_path, 4, [1, bib_idx, 0], 'citations', 'info', line, 'Unused bibliography entry ''' || key || '''.', {_NONE}, file FROM defined x WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM cites c WHERE c.doc_path = x.doc_path AND c.key = x.key)
+  UNION ALL SELECT doc_path, 4, [1, first_idx, n], 'citations', 'warning', line, 'Duplicate bibliography key ''' || key || ''' (first defined at ' || file || ':' || CAST(first_line AS VARCHAR) || ').', {_NONE}, file FROM defined WHERE n > 1
+  UNION ALL SELECT doc_path, 5, [bib_idx], 'references', 'error', line, 'Reference ''' || key || '''' || CASE WHEN eprint <> '' THEN ' has arXiv ID ''' || eprint || ''' but arXiv knows nothing of it: ' ELSE ' has DOI ''' || doi || ''' but doi.org knows nothing of it: ' END || v.detail, {_NONE}, file
+    FROM defined x JOIN v ON v.target_id = x.target WHERE NOT v.found
+  UNION ALL SELECT doc_path, 6, [para_idx, 0], 'grammar', 'info', start_line + CASE WHEN pos > 0 THEN {newlines("substr(text, 1, pos - 1)")} ELSE 0 END, 'm', 'See', doc_path FROM prose WHERE para_idx % 3 = 1
+  UNION ALL SELECT doc_path, 6, [para_idx, k], 'grammar', 'warning', start_line, CASE k WHEN 0 THEN 'vague' ELSE 'second' END, {_NONE}, doc_path FROM prose, (SELECT unnest([0, 1]) AS k) t WHERE para_idx % 3 = 2
+  UNION ALL SELECT doc_path, 7, [sec_idx, 0], 'reviewer', CASE sec_idx % 3 WHEN 1 THEN 'error' ELSE 'info' END, start_line, CASE sec_idx % 3 WHEN 0 THEN '[clarity] c' WHEN 1 THEN 'no category' ELSE '[scope] s' END, {_NONE}, doc_path FROM sections WHERE text <> ''
+  UNION ALL SELECT doc_path, 8, [para_idx, 0, 0], 'claims', CASE WHEN state <> 'ready' THEN 'info' WHEN para_idx % 3 = 1 THEN 'error' ELSE 'warning' END, start_line,
+    CASE state WHEN 'unknown' THEN 'Unknown cite key ''' || key || ''' in claim: it holds' WHEN 'untitled' THEN 'No title in bib for ''' || key || ''', so the claim cannot be checked: it holds'
+      WHEN 'unfound' THEN 'Could not retrieve abstract for ''' || key || ''' (''' || replace(title, chr(10), '\n') || '''); claim not checked.' WHEN 'empty' THEN 'The record found for ''' || key || ''' has no abstract; claim not checked.'
+      ELSE CASE WHEN para_idx % 3 = 1 THEN '[contradicts] claim ''it holds'' vs ' || key || ': r' ELSE '[unclear] claim ''it holds'' vs ' || key || ': ' END END, {_NONE}, doc_path FROM judged WHERE state <> 'ready' OR para_idx % 3 <> 0)
+SELECT doc_path, row_number() OVER (PARTITION BY doc_path ORDER BY place, ord) AS seq, checker, severity, CAST(line AS BIGINT) AS line, message, excerpt, file FROM everything"""
