@@ -27,6 +27,11 @@ class Corpus:
 Checker = Callable[[Corpus], DataFrame]
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows that every check reads: written to the checkpoint folder where one is set, else kept by the executors."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_paths: list[str] | None = None) -> Corpus:
     """Reads the sources below a folder, puts included files in place, and finds each document's bibliography.
 
@@ -36,8 +41,8 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
     sources = f.read_texts(spark, folder + "/**")
     listing = f.list_files(spark, folder)
     roots = sources.where("instr(source, '\\\\begin{document}') > 0").selectExpr("path AS doc_path") if roots is None else roots
-    lines = f.expand_includes(sources, roots)
-    docs = f.joined_sources(lines, roots)
+    lines = _once(f.expand_includes(sources, roots))
+    docs = _once(f.joined_sources(lines, roots))
     bibs = bib.bib_file_entries(f.read_texts(spark, bib_paths or folder + "/**", ".bib"))
     if bib_paths:
         entries = docs.select("doc_path").crossJoin(bibs)  # every document is checked against all the files given

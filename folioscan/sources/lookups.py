@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import text as t
+from folioscan.sources.files import is_file
 
 Lookup = Callable[[DataFrame], DataFrame]
 
@@ -40,6 +41,23 @@ def from_table(table: DataFrame) -> Lookup:
     return lambda questions: table
 
 
+def kept(lookup: Lookup, folder: str, keys: tuple[str, ...] = ("target_kind", "target_id")) -> Lookup:
+    """A lookup that keeps its answers as Parquet in a shared folder and asks only what is not among them, so that lost tasks and later runs cost no answer twice.
+
+    For searches keys is ("query",); what has no hits is asked again.
+    """
+
+    def run(questions: DataFrame) -> DataFrame:
+        spark = questions.sparkSession
+        new = questions.select(*keys).distinct()
+        if is_file(spark, f"{folder}/_SUCCESS"):
+            new = new.join(spark.read.parquet(folder), list(keys), "left_anti")
+        lookup(new).write.mode("append").parquet(folder)
+        return spark.read.parquet(folder)
+
+    return run
+
+
 def _open(url: str, wait: float):
     return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "folioscan"}), timeout=wait)
 

@@ -1,3 +1,4 @@
+import json
 import time
 
 from folioscan.plans import check as plan
@@ -43,7 +44,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["check", str(tmp_path / "paper.tex"), "--skip-grammar", "--skip-reviewer"]) == 1
     assert "not found in the bibliography" in capsys.readouterr().out
     assert main(["check", str(tmp_path / "*.tex"), "--skip-grammar", "--skip-reviewer", "--json"]) == 1
-    assert '"total":1' in capsys.readouterr().out
+    shown = capsys.readouterr()
+    assert json.loads(shown.out)["total"] == 1 and '\n  "total": 1,\n' in shown.out
+    assert "no bibliography entries" in shown.err and "not there" not in shown.err
+    (tmp_path / "named.tex").write_text("\\begin{document}\nWords.\n\\bibliography{gone}\n\\end{document}\n")
+    main(["check", str(tmp_path / "named.tex"), "--skip-grammar", "--skip-reviewer"])
+    assert "not there" in (said := capsys.readouterr().err) and said.count("gone.bib") == 1
     (tmp_path / "notes.txt").write_text("A TODO: add it")
     assert main(["check", str(tmp_path / "notes.txt"), "--skip-grammar", "--skip-reviewer"]) == 0
     assert main(["version"]) == 0

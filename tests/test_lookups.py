@@ -53,3 +53,17 @@ def test_verdicts_ask_once(spark):
 def test_card(spark):
     rows = spark.createDataFrame([("q", "T", [], None, "", None)], "query string, title string, authors array<string>, year int, abstract string, url string")
     assert [r.text for r in lookups.paper_card(rows).orderBy("line_no").collect()] == ["title: T", "authors: (unknown)", "year: (unknown)", "url: (none)", "abstract: (no abstract)"]
+
+
+def test_kept_answers_are_not_asked_again(spark, tmp_path):
+    asked = []
+
+    def lookup(questions):
+        asked.append(sorted(r.query for r in questions.collect()))
+        return questions.selectExpr("query", "upper(query) AS title")
+
+    stored = lookups.kept(lookup, str(tmp_path / "answers"), ("query",))
+    frame = lambda *q: spark.createDataFrame([(x,) for x in q], "query string")
+    assert sorted(tuple(r) for r in stored(frame("a", "b", "a")).collect()) == [("a", "A"), ("b", "B")]
+    assert sorted(tuple(r) for r in stored(frame("b", "c")).collect()) == [("a", "A"), ("b", "B"), ("c", "C")]
+    assert asked == [["a", "b"], ["c"]]
