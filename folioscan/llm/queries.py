@@ -15,6 +15,7 @@ from folioscan.llm.mixing import mixing_report
 from folioscan.llm.pii import pii_report
 from folioscan.llm.quality import quality
 from folioscan.llm.simhash import simhash_dedup
+from folioscan.llm.spelling import spelling_variants
 from folioscan.llm.suffix_dedup import suffix_dedup
 from folioscan.llm.toxicity import toxicity
 
@@ -63,9 +64,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op4_suffix_dedup": oracle.SUFFIXES, "op9_exact_dedup": oracle.EXACT}
+    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op4_suffix_dedup": oracle.SUFFIXES, "op9_exact_dedup": oracle.EXACT, "op13_spelling_variants": oracle.SPELLING}
