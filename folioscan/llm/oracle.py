@@ -82,3 +82,13 @@ best AS (SELECT w, n, v, m, count(*) OVER (PARTITION BY w) AS n_near FROM near Q
 formed AS (SELECT w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * words.n THEN v END AS form, CASE WHEN m >= 10 * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
 steps AS (SELECT w, w AS at FROM formed UNION ALL SELECT s.w, f.form FROM steps s JOIN formed f ON s.at = f.w WHERE f.form IS NOT NULL)
 SELECT f.w AS word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.w = f.w JOIN formed e ON e.w = s.at WHERE e.form IS NULL"""
+
+#: Every document is scored for every item.
+RANKED = r"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+size AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) x GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM postings, size GROUP BY term, docs),
+b AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * docs) // terms AS m FROM d, size WHERE len(w) > 0),
+scores AS (SELECT q, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM b JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10"""
