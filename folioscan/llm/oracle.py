@@ -92,3 +92,8 @@ b AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(trans
 lengths AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * docs) // terms AS m FROM d, size WHERE len(w) > 0),
 scores AS (SELECT q, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM b JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+ARCHIVED = """
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT page_id, html, digest, first_value(page_id) OVER w AS first, octet_length(encode(html)) >= 100 AND row_number() OVER w > 1 AS again
+  FROM (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages) x WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST)) y"""

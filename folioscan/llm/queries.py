@@ -19,6 +19,7 @@ from folioscan.llm.spelling import spelling_variants
 from folioscan.llm.suffix_dedup import suffix_dedup
 from folioscan.llm.toxicity import toxicity
 from folioscan.llm.wand import ranked_search
+from folioscan.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op4_suffix_dedup": oracle.SUFFIXES, "op9_exact_dedup": oracle.EXACT, "op12_ranked_search": oracle.RANKED, "op13_spelling_variants": oracle.SPELLING}
+    return {"op1_decontaminate": oracle.DECONTAMINATE, "op2_license_scan": oracle.LICENSES, "op4_suffix_dedup": oracle.SUFFIXES, "op9_exact_dedup": oracle.EXACT, "op11_warc": oracle.ARCHIVED, "op12_ranked_search": oracle.RANKED, "op13_spelling_variants": oracle.SPELLING}

@@ -22,6 +22,7 @@ CONTRACTS = {
     "op8_simhash_dedup": "doc_id bigint, fingerprint string, component_id bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op11_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
     "op13_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
 }
