@@ -27,37 +27,49 @@ def finding(rows: DataFrame, checker: str, severity: str | Column, line: str | C
     return rows.select("doc_path", F.lit(checker).alias("checker"), severity.alias("severity"), line.cast("int").alias("line"), message.alias("message"), text(suggestion).alias("suggestion"), text(excerpt).alias("excerpt"), text(file).alias("file"), ordinal.alias("ord"))
 
 
-def scan_rules(rows: DataFrame, column: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_path, start_line, rule_idx, match_idx, severity, category, message, line, excerpt): every match of every rule in a text column.
+def _rule_matches(column: str, low: str, rules: tuple[Rule, ...]) -> Column:
+    """Every match of every rule in a text column as an array, rule by rule; low is the text in lower case.
 
-    Patterns are literals, so each is compiled once; the text is lower-cased once for the guards, and a pattern only
-    runs on texts that hold one of its guards.
+    Patterns are literals, so each is compiled once; a pattern only runs on texts that hold one of its guards.
     """
-    low = rows.withColumn("low", F.lower(F.col(column)))
     found = []
     for rule in rules:
         guard = F.lit(False)
         for g in rule.guards:
-            guard = guard | F.contains(F.col("low"), F.lit(g))
+            guard = guard | F.contains(F.col(low), F.lit(g))
         about = F.struct(F.lit(RULES.index(rule) if rule in RULES else len(RULES) + rules.index(rule)).alias("rule_idx"), *[F.lit(v).alias(n) for n, v in (("severity", rule.severity), ("category", rule.category), ("message", rule.message))])
         found.append(F.when(guard, F.struct(about.alias("rule"), t.pieces(F.col(column), rule.pattern).alias("parts"))))
     # The patterns are done with; one expression places the matches of all rules.
     some = F.filter(F.array(*found), lambda r: r["parts"].isNotNull())
-    all_rules = F.transform(some, lambda r: F.transform(t.placed(r["parts"]), lambda m, i: _match(r["rule"], m, i)))
-    return low.select("doc_path", "start_line", F.inline(F.flatten(all_rules)))
+    return F.flatten(F.transform(some, lambda r: F.transform(t.placed(r["parts"]), lambda m, i: _match(r["rule"], m, i))))
+
+
+def scan_rules(rows: DataFrame, column: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_path, start_line, rule_idx, match_idx, severity, category, message, line, excerpt): every match of every rule in a text column."""
+    low = rows.withColumn("low", F.lower(F.col(column)))
+    return low.select("doc_path", "start_line", F.inline(_rule_matches(column, "low", rules)))
 
 
 def _match(rule: Column, m: Column, i: Column) -> Column:
     return F.struct(rule["rule_idx"].alias("rule_idx"), i.alias("match_idx"), rule["severity"].alias("severity"), rule["category"].alias("category"), rule["message"].alias("message"), m["line"].alias("line"), t.strip(F.substring(m["text"], F.lit(1), F.lit(80))).alias("excerpt"))
 
 
+def with_artifacts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with parsed_artifacts: the matches of all rules in the body and then in the preamble."""
+    rows = docs.withColumn("a_source", F.coalesce("source", F.lit(""))).withColumn("a_offset", t.body_offset(F.col("a_source")))
+    rows = rows.withColumn("a_body", t.body(F.col("a_source"), F.col("a_offset"))).withColumn("a_front", t.preamble(F.col("a_source")))
+    rows = rows.withColumn("a_low", F.lower("a_body")).withColumn("a_front_low", F.lower("a_front")).withColumn("a_above", t.newlines(F.substring("a_source", F.lit(1), F.col("a_offset"))))
+    placed = lambda matches, part, above: F.transform(matches, lambda m: F.struct(F.lit(part).alias("part"), *[m[c].alias(c) for c in ("rule_idx", "match_idx", "severity", "message", "excerpt")], (m["line"] + above).alias("line")))
+    both = F.concat(placed(_rule_matches("a_body", "a_low", rules), 0, F.col("a_above")), placed(_rule_matches("a_front", "a_front_low", rules), 1, F.lit(0)))
+    return rows.select(*docs.columns, both.alias("parsed_artifacts"))
+
+
 def artifacts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Leftovers of machine-written text, in the body and then in the preamble; errors before warnings."""
-    body = scan_rules(parse.with_body(docs), "body", rules).withColumn("part", F.lit(0))
-    front = scan_rules(parse.with_preamble(docs).withColumn("start_line", F.lit(1)), "preamble", rules).withColumn("part", F.lit(1))
-    rows = body.unionByName(front).withColumn("level", (F.col("severity") == "warning").cast("int"))
+    rows = docs if "parsed_artifacts" in docs.columns and rules is RULES else with_artifacts(docs, rules)
+    rows = rows.select("doc_path", F.inline("parsed_artifacts")).withColumn("level", (F.col("severity") == "warning").cast("int"))
     advice = F.lit("Write this part yourself, or take it out before submission.")
-    return finding(rows, "artifacts", F.col("severity"), F.col("line") + F.col("start_line") - 1, F.col("message"), ["part", "level", "rule_idx", "match_idx"], advice, F.col("excerpt"))
+    return finding(rows, "artifacts", F.col("severity"), "line", F.col("message"), ["part", "level", "rule_idx", "match_idx"], advice, F.col("excerpt"))
 
 
 def missing_captions(floats: DataFrame) -> DataFrame:
@@ -156,6 +168,7 @@ def citations(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return missing_citations(cites, entries).unionByName(unused_entries(cites, entries)).unionByName(duplicate_entries(entries))
 
 
+#: Fixed value: what an arXiv identifier looks like.
 ARXIV_ID = r"(?:\d{4}\.\d{4,5})(?:v\d+)?"
 
 

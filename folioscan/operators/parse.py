@@ -1,11 +1,16 @@
 """LaTeX sources into relations. All of it happens within a row: no shuffle, and the scan reads two columns.
 
-Inputs have (doc_path, source). A line map, where one is given, has (doc_path, combined_line, origin_file, origin_line)
-and moves line numbers of an expanded source to the files they came from.
+parsed() adds what is found in a source as columns of arrays, one for each kind. Each relation explodes one of them: of docs
+that have been parsed (once, for all checks), or else of just what it needs itself.
+
+Inputs have (doc_path, source). Where they also have line_runs, the line map that files.joined_sources() makes of expanded
+includes, line numbers of paragraphs, sections and bibliography blocks are those of the files they came from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,60 +50,63 @@ def source_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_path", (F.col("at") + 1).alias("combined_line"), "text", F.col("doc_path").alias("origin_file"), (F.col("at") + 1).alias("origin_line"))
 
 
-def to_origin(rows: DataFrame, line_map: DataFrame | None, *columns: str, file: str | None = "file") -> DataFrame:
-    """Moves line columns to their origin. The file is that of the first column; lines outside the map stay as they are."""
-    if line_map is None:
-        return rows.withColumn(file, F.col("doc_path")) if file else rows
-    for k, column in enumerate(columns):
-        origin = line_map.select(F.col("doc_path").alias("m_doc"), F.col("combined_line").alias("m_line"), F.col("origin_file").alias("m_file"), F.col("origin_line").alias("m_to"))
-        rows = rows.join(origin, (F.col("doc_path") == F.col("m_doc")) & (F.col(column) == F.col("m_line")), "left")
-        rows = rows.withColumn(column, F.coalesce("m_to", column))
-        if k == 0 and file:
-            rows = rows.withColumn(file, F.coalesce("m_file", "doc_path"))
-        rows = rows.drop("m_doc", "m_line", "m_file", "m_to")
-    return rows
+def _run_of(runs: Column, line: Column) -> Column:
+    """The run that a line stands in, by binary search over the starts of the runs; null outside of all."""
+    rounds = F.ceil(F.log2(F.size(runs) + 1)).cast("int")
+    low = F.aggregate(F.sequence(F.lit(0), rounds), F.struct(F.lit(0).alias("low"), F.size(runs).alias("high")), lambda b, _: _halved(runs, b, line))["low"]
+    return t.let(F.get(runs, low), lambda r: F.when((r["start"] <= line) & (line < r["start"] + r["length"]), r))
+
+
+def _halved(runs: Column, bounds: Column, line: Column) -> Column:
+    mid = F.floor((bounds["low"] + bounds["high"]) / 2).cast("int")
+    right = F.get(runs, mid)["start"] <= line
+    halves = F.when(right, F.struct(mid.alias("low"), bounds["high"].alias("high"))).otherwise(F.struct(bounds["low"].alias("low"), mid.alias("high")))
+    return F.when(bounds["high"] - bounds["low"] <= 1, bounds).otherwise(halves)
+
+
+def _moved(docs: DataFrame, array: str, *lines: str) -> DataFrame:
+    """docs whose array has its line fields moved to the files they came from, and a field file: that of the first line. Lines outside the map stay as they are.
+
+    The line map is the column line_runs of docs, so this happens within the row; without it all lines are the document's own.
+    """
+    fields = [x.name for x in docs.schema[array].dataType.elementType.fields]
+    if "line_runs" not in docs.columns:
+        return docs.withColumn(array, F.transform(array, lambda x: F.struct(*[x[f].alias(f) for f in fields], F.col("doc_path").alias("file"))))
 
+    def moved(x: Column) -> Column:
+        def to(runs: Column) -> Column:
+            run_of = {line: F.get(runs, i) for i, line in enumerate(lines)}
+            place = lambda f: F.coalesce(run_of[f]["origin"] + x[f] - run_of[f]["start"], x[f])
+            return F.struct(*[(place(f) if f in lines else x[f]).alias(f) for f in fields], F.coalesce(run_of[lines[0]]["file"], F.col("doc_path")).alias("file"))
 
-def paragraphs(docs: DataFrame, line_map: DataFrame | None = None) -> DataFrame:
+        return t.let(F.array(*[_run_of(F.col("line_runs"), x[f]) for f in lines]), to)
+
+    return docs.withColumn(array, F.transform(array, moved))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_path, para_idx, text, start_line, end_line, file): runs of lines that are not blank once comments are gone."""
-    rows = with_body(docs).select("doc_path", "start_line", t.lines(t.strip_comments(F.col("body"))).alias("line"))
-    rows = rows.withColumn("full", F.transform("line", lambda s: t.strip(s) != ""))
-    at = F.sequence(F.lit(1), F.greatest(F.size("line"), F.lit(1)))
-    full = lambda i: F.coalesce(F.get("full", i - 1), F.lit(False))
-    runs = F.arrays_zip(F.filter(at, lambda i: full(i) & ~full(i - 1)).alias("first"), F.filter(at, lambda i: full(i) & ~full(i + 1)).alias("last"))
-    out = rows.select("doc_path", "line", "start_line", F.posexplode(runs).alias("para_idx", "run"))
-    first, last = F.col("run.first"), F.col("run.last")
-    out = out.select("doc_path", "para_idx", t.strip(F.array_join(F.slice("line", first, last - first + 1), "\n")).alias("text"), (F.col("start_line") + first - 1).alias("start_line"), (F.col("start_line") + last - 1).alias("end_line"))
-    return to_origin(out, line_map, "start_line", "end_line")
+    rows = _moved(parsed(docs, "paragraphs"), "parsed_paragraphs", "start_line", "end_line")
+    return rows.select("doc_path", F.posexplode("parsed_paragraphs").alias("para_idx", "p")).select("doc_path", "para_idx", "p.*")
 
 
 def prose_paragraphs(paras: DataFrame, least: int = 3) -> DataFrame:
     return paras.where(t.has_prose(F.col("text"), least))
 
 
-def sections(docs: DataFrame, line_map: DataFrame | None = None) -> DataFrame:
+def sections(docs: DataFrame) -> DataFrame:
     """(doc_path, sec_idx, title, text, start_line, end_line, file): from one section command to the next; without any, the whole body."""
-    rows = with_body(docs).select("doc_path", "start_line", t.strip_comments(F.col("body")).alias("body"))
-    rows = rows.withColumn("found", t.occurrences(F.col("body"), SECTION, 1))
-    kind = "array<struct<title:string,text:string,first:int,last:int>>"
-    several = F.transform("found", lambda m: F.struct(t.strip(m["g1"]).alias("title"), t.strip(F.concat(m["text"], m["tail"])).alias("text"), m["line"].alias("first"), (m["end_line"] + t.newlines(m["tail"])).alias("last"))).cast(kind)
-    one = F.array(F.struct(F.lit("").alias("title"), t.strip(F.col("body")).alias("text"), F.lit(1).alias("first"), (t.newlines(F.col("body")) + 1).alias("last"))).cast(kind)
-    out = rows.select("doc_path", "start_line", F.posexplode(F.when(F.size("found") > 0, several).otherwise(one)).alias("sec_idx", "s"))
-    out = out.select("doc_path", "sec_idx", "s.title", "s.text", (F.col("start_line") + F.col("s.first") - 1).alias("start_line"), (F.col("start_line") + F.col("s.last") - 1).alias("end_line"))
-    return to_origin(out, line_map, "start_line", "end_line")
+    rows = _moved(parsed(docs, "sections"), "parsed_sections", "start_line", "end_line")
+    return rows.select("doc_path", F.posexplode("parsed_sections").alias("sec_idx", "s")).select("doc_path", "sec_idx", "s.*")
 
 
 def _keys(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), t.strip), lambda k: k != "")
 
 
-def citations(docs: DataFrame, source: str = "source") -> DataFrame:
+def citations(docs: DataFrame) -> DataFrame:
     """(doc_path, cite_idx, key, line): every cited key outside comments; all keys of a command have its line."""
-    rows = docs.where(F.contains(F.col(source), F.lit("cite"))).select("doc_path", t.strip_comments(F.col(source)).alias("plain"))
-    rows = rows.withColumn("found", t.occurrences(F.col("plain"), CITE, 1))
-    keys = F.flatten(F.transform("found", lambda m: F.transform(_keys(m["g1"]), lambda k: F.struct(k.alias("key"), m["line"].alias("line")))))
-    out = rows.select("doc_path", F.posexplode(keys).alias("cite_idx", "c"))
-    return out.select("doc_path", "cite_idx", "c.key", "c.line")
+    return parsed(docs, "citations").select("doc_path", F.posexplode("parsed_citations").alias("cite_idx", "c")).select("doc_path", "cite_idx", "c.key", "c.line")
 
 
 def cite_keys(c: Column) -> Column:
@@ -108,20 +116,12 @@ def cite_keys(c: Column) -> Column:
 
 def bib_resources(docs: DataFrame) -> DataFrame:
     """(doc_path, res_idx, name): bibliography names, those of bibliography commands first."""
-    source = t.strip_comments(F.coalesce("source", F.lit("")))
-    many = F.flatten(F.transform(F.regexp_extract_all(source, F.lit(BIBLIOGRAPHY), F.lit(1)), _keys))
-    single = F.filter(F.transform(F.regexp_extract_all(source, F.lit(BIB_RESOURCE), F.lit(1)), t.strip), lambda n: n != "")
-    return docs.select("doc_path", F.posexplode(F.concat(many, single)).alias("res_idx", "name"))
+    return parsed(docs, "resources").select("doc_path", F.posexplode("parsed_resources").alias("res_idx", "name"))
 
 
 def floats(docs: DataFrame) -> DataFrame:
     """(doc_path, float_idx, env_type, content, start_line, end_line, caption, labels); caption is null if there is none."""
-    rows = _source(docs).where(F.contains("source", F.lit("\\begin{")))
-    rows = rows.select("doc_path", F.posexplode(t.occurrences(F.col("source"), FLOAT, 1, 2)).alias("float_idx", "m"))
-    content = F.col("m.g2")
-    caption = F.when(content.rlike(CAPTION), t.strip(F.regexp_extract(content, CAPTION, 1)))
-    labels = F.transform(F.regexp_extract_all(content, F.lit(LABEL), F.lit(1)), t.strip)
-    return rows.select("doc_path", "float_idx", F.col("m.g1").alias("env_type"), content.alias("content"), F.col("m.line").alias("start_line"), F.col("m.end_line").alias("end_line"), caption.alias("caption"), labels.alias("labels"))
+    return parsed(docs, "floats").select("doc_path", F.posexplode("parsed_floats").alias("float_idx", "f")).select("doc_path", "float_idx", "f.*")
 
 
 def labels(float_rows: DataFrame) -> DataFrame:
@@ -131,30 +131,117 @@ def labels(float_rows: DataFrame) -> DataFrame:
 
 def refs(docs: DataFrame) -> DataFrame:
     """(doc_path, label): the distinct labels each document refers to."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(REF), F.lit(1)), t.strip))
-    return docs.select("doc_path", F.explode(found).alias("label"))
+    return parsed(docs, "refs").select("doc_path", F.explode("parsed_refs").alias("label"))
 
 
 def graphics(docs: DataFrame) -> DataFrame:
     """(doc_path, img_idx, raw_path, line): included images; paths to sources, classes, styles and bibliographies are left out."""
-    rows = _source(docs).where(F.contains("source", F.lit("\\includegraphics")))
-    rows = rows.select("doc_path", F.posexplode(t.occurrences(F.col("source"), GRAPHICS, 1)).alias("img_idx", "m"))
-    rows = rows.select("doc_path", "img_idx", t.strip(F.col("m.g1")).alias("raw_path"), F.col("m.line").alias("line"))
+    rows = parsed(docs, "graphics").select("doc_path", F.posexplode("parsed_graphics").alias("img_idx", "g")).select("doc_path", "img_idx", "g.*")
     return rows.where((F.col("raw_path") != "") & ~F.lower("raw_path").rlike(r"\.(?:tex|cls|sty|bib|bst)$"))
 
 
 def title_guess(body: Column) -> Column:
     """The first text in quotes, else in an italic, emphasised or bold command, else empty."""
+    # How a title is written.
     quoted = r"``([^']+?)''|\"([^\"]+?)\""
     macro = r"(?U)\\(?:textit|emph|textbf)\s*\{([^}]+)\}"
     first = F.coalesce(t.filled(F.regexp_extract(body, quoted, 1)), F.regexp_extract(body, quoted, 2))
     return F.when(body.rlike(quoted), t.strip(first)).otherwise(t.strip(F.regexp_extract(body, macro, 1)))
 
 
-def inline_bibitems(docs: DataFrame, line_map: DataFrame | None = None) -> DataFrame:
+def inline_bibitems(docs: DataFrame) -> DataFrame:
     """Bibliography entries of bibliography blocks inside the sources, comments included."""
-    blocks = _source(docs).where(F.contains("source", F.lit(t.BIBLIOGRAPHY))).select("doc_path", F.posexplode(t.occurrences(F.col("source"), BIB_BLOCK)).alias("block", "b"))
-    items = blocks.select("doc_path", "block", F.col("b.line").alias("from_line"), F.posexplode(t.occurrences(F.col("b.text"), BIB_ITEM, 1)).alias("item", "m"))
-    rows = items.select("doc_path", (F.col("block").cast("bigint") * 10**12 + F.col("item")).alias("bib_idx"), t.strip(F.col("m.g1")).alias("key"), F.lit("bibitem").alias("entry_type"), (F.col("from_line") + F.col("m.line") - 1).alias("line"), title_guess(F.col("m.tail")).alias("title"))
-    rows = to_origin(rows.where("key <> ''"), line_map, "line")
+    rows = _moved(parsed(docs, "bibitems"), "parsed_bibitems", "line").select("doc_path", F.explode("parsed_bibitems").alias("b")).select("doc_path", "b.*")
+    rows = rows.where("key <> ''").withColumn("entry_type", F.lit("bibitem"))
     return rows.select("doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", F.lit("").alias("author"), F.lit("").alias("eprint"), F.lit("").alias("doi"))
+
+
+def _found_paragraphs() -> Column:
+    full = lambda i: F.coalesce(F.get("p_full", i - 1), F.lit(False))
+    at = F.sequence(F.lit(1), F.greatest(F.size("p_lines"), F.lit(1)))
+    runs = F.arrays_zip(F.filter(at, lambda i: full(i) & ~full(i - 1)).alias("first"), F.filter(at, lambda i: full(i) & ~full(i + 1)).alias("last"))
+    text = lambda r: t.strip(F.array_join(F.slice("p_lines", r["first"], r["last"] - r["first"] + 1), "\n"))
+    return F.transform(runs, lambda r: F.struct(text(r).alias("text"), (F.col("p_line") + r["first"] - 1).alias("start_line"), (F.col("p_line") + r["last"] - 1).alias("end_line")))
+
+
+def _found_sections() -> Column:
+    kind = "array<struct<title:string,text:string,start_line:int,end_line:int>>"
+    line = F.col("p_line")
+    several = F.transform("p_sections", lambda m: F.struct(t.strip(m["g1"]).alias("title"), t.strip(F.concat(m["text"], m["tail"])).alias("text"), (line + m["line"] - 1).alias("start_line"), (line + m["end_line"] + t.newlines(m["tail"]) - 1).alias("end_line"))).cast(kind)
+    one = F.array(F.struct(F.lit("").alias("title"), t.strip(F.col("p_text")).alias("text"), line.alias("start_line"), (line + t.newlines(F.col("p_text"))).alias("end_line"))).cast(kind)
+    return F.when(F.size("p_sections") > 0, several).otherwise(one)
+
+
+def _found_citations() -> Column:
+    return F.flatten(F.transform("p_cites", lambda m: F.transform(_keys(m["g1"]), lambda k: F.struct(k.alias("key"), m["line"].alias("line")))))
+
+
+def _found_resources() -> Column:
+    many = F.flatten(F.transform(F.regexp_extract_all("p_plain", F.lit(BIBLIOGRAPHY), F.lit(1)), _keys))
+    return F.concat(many, F.filter(F.transform(F.regexp_extract_all("p_plain", F.lit(BIB_RESOURCE), F.lit(1)), t.strip), lambda n: n != ""))
+
+
+def _found_floats() -> Column:
+    def row(m: Column) -> Column:
+        caption = F.when(m["g2"].rlike(CAPTION), t.strip(F.regexp_extract(m["g2"], CAPTION, 1)))
+        labels = F.transform(F.regexp_extract_all(m["g2"], F.lit(LABEL), F.lit(1)), t.strip)
+        return F.struct(m["g1"].alias("env_type"), m["g2"].alias("content"), m["line"].alias("start_line"), m["end_line"].alias("end_line"), caption.alias("caption"), labels.alias("labels"))
+
+    return F.transform("p_floats", row)
+
+
+def _found_graphics() -> Column:
+    return F.transform("p_graphics", lambda m: F.struct(t.strip(m["g1"]).alias("raw_path"), m["line"].alias("line")))
+
+
+def _found_bibitems() -> Column:
+    def item(b: Column, block: Column, m: Column, i: Column) -> Column:
+        return F.struct((block.cast("bigint") * 10**12 + i).alias("bib_idx"), t.strip(m["g1"]).alias("key"), (b["line"] + m["line"] - 1).alias("line"), title_guess(m["tail"]).alias("title"))
+
+    return F.flatten(F.transform("p_blocks", lambda b, k: F.transform(t.occurrences(b["text"], BIB_ITEM, 1), lambda m, i: item(b, k, m, i))))
+
+
+def _matches(column: str, guard: str, pattern: str, *groups: int) -> Column:
+    """occurrences() in a column, looked for only where the guard stands."""
+    return t.occurrences(F.when(F.contains(column, F.lit(guard)), F.col(column)).otherwise(""), pattern, *groups)
+
+
+#: Columns that others are made of, in the order in which they are made.
+_STEPS: dict[str, Callable[[], Column]] = {
+    "p_source": lambda: F.coalesce("source", F.lit("")),
+    "p_plain": lambda: t.strip_comments(F.col("p_source")),
+    "p_offset": lambda: t.body_offset(F.col("p_source")),
+    "p_line": lambda: t.newlines(F.substring("p_source", F.lit(1), F.col("p_offset"))) + 1,
+    "p_body": lambda: t.body(F.col("p_source"), F.col("p_offset")),
+    "p_text": lambda: t.strip_comments(F.col("p_body")),
+    "p_lines": lambda: t.lines(F.col("p_text")),
+    "p_full": lambda: F.transform("p_lines", lambda s: t.strip(s) != ""),
+    "p_sections": lambda: _matches("p_text", "\\section", SECTION, 1),
+    "p_cites": lambda: _matches("p_plain", "cite", CITE, 1),
+    "p_floats": lambda: _matches("p_source", "\\begin{", FLOAT, 1, 2),
+    "p_graphics": lambda: _matches("p_source", "\\includegraphics", GRAPHICS, 1),
+    "p_blocks": lambda: _matches("p_source", t.BIBLIOGRAPHY, BIB_BLOCK),
+}
+#: What each kind is made of, and how.
+FOUND: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "citations": (("p_source", "p_plain", "p_cites"), _found_citations),
+    "resources": (("p_source", "p_plain"), _found_resources),
+    "floats": (("p_source", "p_floats"), _found_floats),
+    "refs": (("p_source",), lambda: F.array_distinct(F.transform(F.regexp_extract_all("p_source", F.lit(REF), F.lit(1)), t.strip))),
+    "graphics": (("p_source", "p_graphics"), _found_graphics),
+    "bibitems": (("p_source", "p_blocks"), _found_bibitems),
+    "paragraphs": (("p_source", "p_offset", "p_line", "p_body", "p_text", "p_lines", "p_full"), _found_paragraphs),
+    "sections": (("p_source", "p_offset", "p_line", "p_body", "p_text", "p_sections"), _found_sections),
+}
+
+
+def parsed(docs: DataFrame, *kinds: str) -> DataFrame:
+    """docs with a column parsed_<kind> for each of kinds (all of FOUND, if none are named): everything of that kind in the source, in order, in one pass over it."""
+    missing = [k for k in kinds or FOUND if f"parsed_{k}" not in docs.columns]
+    if not missing:
+        return docs
+    steps, rows = {s for k in missing for s in FOUND[k][0]}, docs
+    for name in _STEPS:
+        if name in steps:
+            rows = rows.withColumn(name, _STEPS[name]())
+    return rows.select(*docs.columns, *[FOUND[k][1]().alias(f"parsed_{k}") for k in missing])

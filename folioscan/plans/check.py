@@ -11,25 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscan.operators import bib, checks, parse, replies, report
 from folioscan.sources import files as f
 from folioscan.sources import lookups
+from folioscan.sources.tables import written
 
 
 @dataclass
 class Corpus:
-    """docs(doc_path, source), their line map, bibliography entries, and a listing files(path)."""
+    """docs(doc_path, source; line_runs, where sources are expanded), bibliography entries, and a listing files(path)."""
 
     docs: DataFrame
     entries: DataFrame
     files: DataFrame
-    line_map: DataFrame | None = None
 
 
 #: A check of one's own: a function from a corpus to findings with the columns checks.FINDING.
 Checker = Callable[[Corpus], DataFrame]
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Rows that every check reads: written to the checkpoint folder where one is set, else kept by the executors."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+def parse_once(docs: DataFrame) -> DataFrame:
+    """docs with all that the checks look for in a source, found in one pass and written, so that each check reads just its own columns."""
+    return docs if "parsed_artifacts" in docs.columns else written(checks.with_artifacts(parse.parsed(docs)))
 
 
 def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_paths: list[str] | None = None) -> Corpus:
@@ -41,8 +41,7 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
     sources = f.read_texts(spark, folder + "/**")
     listing = f.list_files(spark, folder)
     roots = sources.where("instr(source, '\\\\begin{document}') > 0").selectExpr("path AS doc_path") if roots is None else roots
-    lines = _once(f.expand_includes(sources, roots))
-    docs = _once(f.joined_sources(lines, roots))
+    docs = parse_once(f.joined_sources(f.expand_includes(sources, roots), roots))
     bibs = bib.bib_file_entries(f.read_texts(spark, bib_paths or folder + "/**", ".bib"))
     if bib_paths:
         entries = docs.select("doc_path").crossJoin(bibs)  # every document is checked against all the files given
@@ -50,28 +49,29 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
         named = checks.missing_bib_files(docs, listing).where("found").select("doc_path", "res_idx", "path").withColumnRenamed("path", "file")
         entries = named.join(bibs, "file").selectExpr("doc_path", "CAST(res_idx AS bigint) * 1000000000000 + bib_idx AS bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi")
     columns = ["doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi"]
-    entries = bib.with_fallback(entries.select(columns), parse.inline_bibitems(docs, lines).select(columns))
-    return Corpus(docs, entries, listing, lines)
+    entries = bib.with_fallback(entries.select(columns), parse.inline_bibitems(docs).select(columns))
+    return Corpus(docs, entries, listing)
 
 
 def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lookup | None = None, search: lookups.Lookup | str = "semantic-scholar", skip_grammar: bool = False, skip_reviewer: bool = False, enable_claims: bool = False, extra: Sequence[Checker] = ()) -> DataFrame:
     """The findings of all documents. Without a model no language model is asked, without verify no reference is looked up. extra adds checks of one's own."""
-    docs, entries = corpus.docs, corpus.entries
+    docs, entries = parse_once(corpus.docs), corpus.entries
     parts = [checks.artifacts(docs), checks.figures(docs), checks.images(docs, corpus.files), checks.citations(docs, entries)]
     if verify is not None:
         parts.append(checks.references(entries, lookups.verdicts(checks.verify_targets(entries), verify)))
     if model is not None:
-        paras = parse.paragraphs(docs, corpus.line_map)
+        paras = parse.paragraphs(docs)
         if not skip_grammar:
             units = replies.grammar_units(paras)
             parts.append(replies.grammar_findings(units, model(replies.grammar_requests(units))))
         if not skip_reviewer:
-            units = replies.review_units(parse.sections(docs, corpus.line_map))
+            units = replies.review_units(parse.sections(docs))
             parts.append(replies.review_findings(units, model(replies.review_requests(units))))
         if enable_claims:
             units = replies.claim_units(paras)
-            titled = replies.claim_titles(replies.claims(units, model(replies.claim_requests(units))), entries)
-            units = replies.judge_units(titled, lookups.papers(replies.paper_questions(titled), search))
+            # Written: what the model has answered is read for the search, for the judge and for the findings.
+            titled = written(replies.claim_titles(replies.claims(units, model(replies.claim_requests(units))), entries))
+            units = written(replies.judge_units(titled, lookups.papers(replies.paper_questions(titled), search)))
             parts.append(replies.claim_findings(units, model(replies.judge_requests(units))))
     parts += [own(corpus) for own in extra]
     return report.numbered(reduce(DataFrame.unionByName, parts))

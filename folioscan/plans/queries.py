@@ -236,36 +236,35 @@ def _own_entries(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
 
 
 def _includes(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_includes(spark, sf)
+    """Every page is a root."""
+    sources = d.relation(spark, sf, d.INCLUDE_FILES)
+    return files.expand_includes(sources, sources.selectExpr("path AS doc_path"))
 
 
-@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
+@query(f"WITH RECURSIVE {o.INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
 def include_expand(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(_includes(spark, sf).select("doc_path", "combined_line", "text"))
 
 
-@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
+@query(f"WITH RECURSIVE {o.INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
 def line_origin(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(_includes(spark, sf).select("doc_path", "combined_line", "origin_file", "origin_line"))
 
 
-def _all_includes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page is a root. The number of places grows with the square of the pages (3 million at sf0.1), so Spark's limit on a recursion's rows is lifted."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    sources = d.relation(spark, sf, d.INCLUDE_FILES)
-    return files.expand_includes(sources, sources.selectExpr("path AS doc_path"))
+def _expanded(spark: SparkSession, sf: str) -> DataFrame:
+    return files.joined_sources(_includes(spark, sf), d.relation(spark, sf, d.INCLUDE_FILES).selectExpr("path AS doc_path"))
 
 
-@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, text FROM expanded")
-def include_expand_all(spark: SparkSession, sf: str) -> DataFrame:
-    """include_expand with every page as a root."""
-    return _longs(_all_includes(spark, sf).select("doc_path", "combined_line", "text"))
+@query(f"WITH RECURSIVE {o.SOURCES}")
+def expanded_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources with their includes in place, put together again."""
+    return _expanded(spark, sf).select("doc_path", "source")
 
 
-@query(f"WITH RECURSIVE {o.ALL_INCLUDES} SELECT doc_path, combined_line, origin_file, origin_line FROM expanded")
-def line_origin_all(spark: SparkSession, sf: str) -> DataFrame:
-    """line_origin with every page as a root."""
-    return _longs(_all_includes(spark, sf).select("doc_path", "combined_line", "origin_file", "origin_line"))
+@query(f"WITH RECURSIVE {o.ORIGINS}")
+def paragraph_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of expanded sources, by the files and lines that they came from."""
+    return _longs(parse.paragraphs(_expanded(spark, sf)).drop("text"))
 
 
 @query(f"WITH {o.TEX}, {o.GRAPHICS}, listing AS ({o.duck(d.IMAGE_FILES)}) SELECT doc_path, 'images' AS checker, 'error' AS severity, line, 'Image file not found: ''' || raw_path || '''' AS message, raw_path AS excerpt, CAST(NULL AS VARCHAR) AS file FROM graphics WHERE raw_path NOT IN (SELECT path FROM listing)")
@@ -358,7 +357,7 @@ def _stored_replies(requests: DataFrame) -> DataFrame:
 @query(o.WHOLE)
 def whole_check(spark: SparkSession, sf: str) -> DataFrame:
     """All eight checks over all documents, with stored answers for the model, the references and the search."""
-    docs = _docs(spark, sf)
+    docs = whole.parse_once(_docs(spark, sf))
     corpus = whole.Corpus(docs, _own_entries(spark, sf, docs), d.relation(spark, sf, d.IMAGE_FILES))
     known = lookups.from_table(d.relation(spark, sf, d.VERIFICATION_ROWS).withColumnRenamed("found", "exists"))
     rows = whole.check(corpus, _stored_replies, known, lookups.from_table(_hits(spark, sf)), enable_claims=True)

@@ -27,6 +27,21 @@ def test_cycle_ends(spark):
     assert [g[0] for g in got[:2]] == ["a", "b"] and "cycle" in got[2][0] and len(got) == 3
 
 
+def test_chain_of_thousands(spark):
+    n = 5000
+    got = expand(spark, {f"c{i}.tex": f"head {i}\n\\input{{c{(i + 1) % n}}}\ntail {i}" for i in range(n)}, "c0.tex")
+    assert [g[0] for g in got] == [f"head {i}" for i in range(n)] + ["% folioscan: cycle, not expanded: c0.tex"] + [f"tail {i}" for i in reversed(range(n))]
+
+
+def test_joined_sources_keep_runs(spark):
+    sources = {"a.tex": "1\n\\input{b}\n3\n\\input{b}\\input{c}\n\\input{gone}\n6", "b.tex": "b1\n\nb3", "none.tex": ""}
+    table = spark.createDataFrame(list(sources.items()), "path string, source string")
+    roots = spark.createDataFrame([("a.tex",), ("none.tex",), ("a.tex",)], "doc_path string")
+    docs = {r.doc_path: r for r in files.joined_sources(files.expand_includes(table, roots.distinct()), roots).collect()}
+    assert docs["a.tex"].source.split("\n")[:4] == ["1", "b1", "", "b3"] and docs["none.tex"].source == "" and docs["none.tex"].line_runs == []
+    assert [tuple(r) for r in docs["a.tex"].line_runs] == [(1, 1, "a.tex", 1), (2, 3, "b.tex", 1), (5, 1, "a.tex", 3), (6, 3, "b.tex", 1), (9, 1, "gone", 1), (10, 1, "a.tex", 6)]
+
+
 def test_end_to_end(spark, tmp_path):
     (tmp_path / "paper.tex").write_text("\\documentclass{a}\n\\begin{document}\nWe cite \\cite{known} and\n\\cite{ghost}.\n\\bibliography{refs,absent}\n\\end{document}\n")
     (tmp_path / "refs.bib").write_text("@article{known, title = {T}}\n@book{spare, title = {S}}\n@book{spare, title = {S2}}\n")

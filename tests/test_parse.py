@@ -48,5 +48,7 @@ def test_inline_bibitems(docs_of, spark):
     source = "text\n\n\\begin{thebibliography}{9}\n\\bibitem{foo} A. ``A title''. x\n\\bibitem[B]{bar} \\emph{Other}\n\\bibitem{ } none\n\\end{thebibliography}"
     items = parse.inline_bibitems(docs_of(source))
     assert rows(items, "key", "line", "title", "entry_type") == [("foo", 4, "A title", "bibitem"), ("bar", 5, "Other", "bibitem")]
-    line_map = spark.createDataFrame([("d0.tex", i, "refs.tex", i + 7) for i in range(3, 6)], "doc_path string, combined_line int, origin_file string, origin_line int")
-    assert rows(parse.inline_bibitems(docs_of(source), line_map), "file", "line") == [("refs.tex", 11), ("refs.tex", 12)]
+    from pyspark.sql import functions as F
+
+    runs = F.array(*[F.struct(F.lit(start).alias("start"), F.lit(length).alias("length"), F.lit(file).alias("file"), F.lit(origin).alias("origin")) for start, length, file, origin in ((1, 2, "d0.tex", 1), (3, 3, "refs.tex", 10))])
+    assert rows(parse.inline_bibitems(docs_of(source).withColumn("line_runs", runs)), "file", "line") == [("refs.tex", 11), ("refs.tex", 12)]

@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(q.ORACLE) - {"include_expand"}))
+@pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_same_rows(spark, con, name):
     df = q.QUERIES[name](spark, str(DATA))
     result = con.execute(q.ORACLE[name])
