@@ -60,14 +60,15 @@ def with_artifacts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     rows = rows.withColumn("a_body", t.body(F.col("a_source"), F.col("a_offset"))).withColumn("a_front", t.preamble(F.col("a_source")))
     rows = rows.withColumn("a_low", F.lower("a_body")).withColumn("a_front_low", F.lower("a_front")).withColumn("a_above", t.newlines(F.substring("a_source", F.lit(1), F.col("a_offset"))))
     placed = lambda matches, part, above: F.transform(matches, lambda m: F.struct(F.lit(part).alias("part"), *[m[c].alias(c) for c in ("rule_idx", "match_idx", "severity", "message", "excerpt")], (m["line"] + above).alias("line")))
-    both = F.concat(placed(_rule_matches("a_body", "a_low", rules), 0, F.col("a_above")), placed(_rule_matches("a_front", "a_front_low", rules), 1, F.lit(0)))
+    # let(): the lines above are counted once, not for each match.
+    both = F.concat(t.let(F.col("a_above"), lambda above: placed(_rule_matches("a_body", "a_low", rules), 0, above)), placed(_rule_matches("a_front", "a_front_low", rules), 1, F.lit(0)))
     return rows.select(*docs.columns, both.alias("parsed_artifacts"))
 
 
 def artifacts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Leftovers of machine-written text, in the body and then in the preamble; errors before warnings."""
     rows = docs if "parsed_artifacts" in docs.columns and rules is RULES else with_artifacts(docs, rules)
-    rows = rows.select("doc_path", F.inline("parsed_artifacts")).withColumn("level", (F.col("severity") == "warning").cast("int"))
+    rows = parse.exploded(rows, "parsed_artifacts", "at").select("doc_path", "x.*").withColumn("level", (F.col("severity") == "warning").cast("int"))
     advice = F.lit("Write this part yourself, or take it out before submission.")
     return finding(rows, "artifacts", F.col("severity"), "line", F.col("message"), ["part", "level", "rule_idx", "match_idx"], advice, F.col("excerpt"))
 

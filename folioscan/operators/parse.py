@@ -73,21 +73,26 @@ def _moved(docs: DataFrame, array: str, *lines: str) -> DataFrame:
     if "line_runs" not in docs.columns:
         return docs.withColumn(array, F.transform(array, lambda x: F.struct(*[x[f].alias(f) for f in fields], F.col("doc_path").alias("file"))))
 
-    def moved(x: Column) -> Column:
+    def moved(x: Column, all_runs: Column) -> Column:
         def to(runs: Column) -> Column:
             run_of = {line: F.get(runs, i) for i, line in enumerate(lines)}
             place = lambda f: F.coalesce(run_of[f]["origin"] + x[f] - run_of[f]["start"], x[f])
             return F.struct(*[(place(f) if f in lines else x[f]).alias(f) for f in fields], F.coalesce(run_of[lines[0]]["file"], F.col("doc_path")).alias("file"))
 
-        return t.let(F.array(*[_run_of(F.col("line_runs"), x[f]) for f in lines]), to)
+        return t.let(F.array(*[_run_of(all_runs, x[f]) for f in lines]), to)
 
-    return docs.withColumn(array, F.transform(array, moved))
+    return docs.withColumn(array, t.let(F.col("line_runs"), lambda runs: F.transform(array, lambda x: moved(x, runs))))
+
+
+def exploded(rows: DataFrame, array: str, at: str) -> DataFrame:
+    """(doc_path, at, x) of the elements of an array. Outer, and then without the empty ones: else the optimiser filters by the array's size further down, where it would compute it a second time."""
+    return rows.select("doc_path", F.posexplode_outer(array).alias(at, "x")).where(F.col(at).isNotNull())
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_path, para_idx, text, start_line, end_line, file): runs of lines that are not blank once comments are gone."""
     rows = _moved(parsed(docs, "paragraphs"), "parsed_paragraphs", "start_line", "end_line")
-    return rows.select("doc_path", F.posexplode("parsed_paragraphs").alias("para_idx", "p")).select("doc_path", "para_idx", "p.*")
+    return exploded(rows, "parsed_paragraphs", "para_idx").select("doc_path", "para_idx", "x.*")
 
 
 def prose_paragraphs(paras: DataFrame, least: int = 3) -> DataFrame:
@@ -97,7 +102,7 @@ def prose_paragraphs(paras: DataFrame, least: int = 3) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_path, sec_idx, title, text, start_line, end_line, file): from one section command to the next; without any, the whole body."""
     rows = _moved(parsed(docs, "sections"), "parsed_sections", "start_line", "end_line")
-    return rows.select("doc_path", F.posexplode("parsed_sections").alias("sec_idx", "s")).select("doc_path", "sec_idx", "s.*")
+    return exploded(rows, "parsed_sections", "sec_idx").select("doc_path", "sec_idx", "x.*")
 
 
 def _keys(c: Column) -> Column:
@@ -106,7 +111,7 @@ def _keys(c: Column) -> Column:
 
 def citations(docs: DataFrame) -> DataFrame:
     """(doc_path, cite_idx, key, line): every cited key outside comments; all keys of a command have its line."""
-    return parsed(docs, "citations").select("doc_path", F.posexplode("parsed_citations").alias("cite_idx", "c")).select("doc_path", "cite_idx", "c.key", "c.line")
+    return exploded(parsed(docs, "citations"), "parsed_citations", "cite_idx").select("doc_path", "cite_idx", "x.*")
 
 
 def cite_keys(c: Column) -> Column:
@@ -116,12 +121,12 @@ def cite_keys(c: Column) -> Column:
 
 def bib_resources(docs: DataFrame) -> DataFrame:
     """(doc_path, res_idx, name): bibliography names, those of bibliography commands first."""
-    return parsed(docs, "resources").select("doc_path", F.posexplode("parsed_resources").alias("res_idx", "name"))
+    return exploded(parsed(docs, "resources"), "parsed_resources", "res_idx").withColumnRenamed("x", "name")
 
 
 def floats(docs: DataFrame) -> DataFrame:
     """(doc_path, float_idx, env_type, content, start_line, end_line, caption, labels); caption is null if there is none."""
-    return parsed(docs, "floats").select("doc_path", F.posexplode("parsed_floats").alias("float_idx", "f")).select("doc_path", "float_idx", "f.*")
+    return exploded(parsed(docs, "floats"), "parsed_floats", "float_idx").select("doc_path", "float_idx", "x.*")
 
 
 def labels(float_rows: DataFrame) -> DataFrame:
@@ -131,12 +136,12 @@ def labels(float_rows: DataFrame) -> DataFrame:
 
 def refs(docs: DataFrame) -> DataFrame:
     """(doc_path, label): the distinct labels each document refers to."""
-    return parsed(docs, "refs").select("doc_path", F.explode("parsed_refs").alias("label"))
+    return exploded(parsed(docs, "refs"), "parsed_refs", "at").select("doc_path", F.col("x").alias("label"))
 
 
 def graphics(docs: DataFrame) -> DataFrame:
     """(doc_path, img_idx, raw_path, line): included images; paths to sources, classes, styles and bibliographies are left out."""
-    rows = parsed(docs, "graphics").select("doc_path", F.posexplode("parsed_graphics").alias("img_idx", "g")).select("doc_path", "img_idx", "g.*")
+    rows = exploded(parsed(docs, "graphics"), "parsed_graphics", "img_idx").select("doc_path", "img_idx", "x.*")
     return rows.where((F.col("raw_path") != "") & ~F.lower("raw_path").rlike(r"\.(?:tex|cls|sty|bib|bst)$"))
 
 
@@ -151,24 +156,33 @@ def title_guess(body: Column) -> Column:
 
 def inline_bibitems(docs: DataFrame) -> DataFrame:
     """Bibliography entries of bibliography blocks inside the sources, comments included."""
-    rows = _moved(parsed(docs, "bibitems"), "parsed_bibitems", "line").select("doc_path", F.explode("parsed_bibitems").alias("b")).select("doc_path", "b.*")
+    rows = exploded(_moved(parsed(docs, "bibitems"), "parsed_bibitems", "line"), "parsed_bibitems", "at").select("doc_path", "x.*")
     rows = rows.where("key <> ''").withColumn("entry_type", F.lit("bibitem"))
     return rows.select("doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", F.lit("").alias("author"), F.lit("").alias("eprint"), F.lit("").alias("doi"))
 
 
+# What a lambda uses beside its element is bound by let(): else the optimiser may put the expression behind a column into the lambda, to be computed for each element.
 def _found_paragraphs() -> Column:
-    full = lambda i: F.coalesce(F.get("p_full", i - 1), F.lit(False))
-    at = F.sequence(F.lit(1), F.greatest(F.size("p_lines"), F.lit(1)))
-    runs = F.arrays_zip(F.filter(at, lambda i: full(i) & ~full(i - 1)).alias("first"), F.filter(at, lambda i: full(i) & ~full(i + 1)).alias("last"))
-    text = lambda r: t.strip(F.array_join(F.slice("p_lines", r["first"], r["last"] - r["first"] + 1), "\n"))
-    return F.transform(runs, lambda r: F.struct(text(r).alias("text"), (F.col("p_line") + r["first"] - 1).alias("start_line"), (F.col("p_line") + r["last"] - 1).alias("end_line")))
+    def runs(full: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(full), F.lit(1)))
+        is_full = lambda i: F.coalesce(F.get(full, i - 1), F.lit(False))
+        return F.arrays_zip(F.filter(at, lambda i: is_full(i) & ~is_full(i - 1)).alias("first"), F.filter(at, lambda i: is_full(i) & ~is_full(i + 1)).alias("last"))
+
+    def rows(about: Column) -> Column:
+        text = lambda r: t.strip(F.array_join(F.slice(about["lines"], r["first"], r["last"] - r["first"] + 1), "\n"))
+        return F.transform(t.let(about["full"], runs), lambda r: F.struct(text(r).alias("text"), (about["line"] + r["first"] - 1).alias("start_line"), (about["line"] + r["last"] - 1).alias("end_line")))
+
+    return t.let(F.struct(F.col("p_lines").alias("lines"), F.col("p_full").alias("full"), F.col("p_line").alias("line")), rows)
 
 
 def _found_sections() -> Column:
     kind = "array<struct<title:string,text:string,start_line:int,end_line:int>>"
-    line = F.col("p_line")
-    several = F.transform("p_sections", lambda m: F.struct(t.strip(m["g1"]).alias("title"), t.strip(F.concat(m["text"], m["tail"])).alias("text"), (line + m["line"] - 1).alias("start_line"), (line + m["end_line"] + t.newlines(m["tail"]) - 1).alias("end_line"))).cast(kind)
-    one = F.array(F.struct(F.lit("").alias("title"), t.strip(F.col("p_text")).alias("text"), line.alias("start_line"), (line + t.newlines(F.col("p_text"))).alias("end_line"))).cast(kind)
+
+    def row(line: Column, m: Column) -> Column:
+        return F.struct(t.strip(m["g1"]).alias("title"), t.strip(F.concat(m["text"], m["tail"])).alias("text"), (line + m["line"] - 1).alias("start_line"), (line + m["end_line"] + t.newlines(m["tail"]) - 1).alias("end_line"))
+
+    several = t.let(F.col("p_line"), lambda line: F.transform("p_sections", lambda m: row(line, m))).cast(kind)
+    one = F.array(F.struct(F.lit("").alias("title"), t.strip(F.col("p_text")).alias("text"), F.col("p_line").alias("start_line"), (F.col("p_line") + t.newlines(F.col("p_text"))).alias("end_line"))).cast(kind)
     return F.when(F.size("p_sections") > 0, several).otherwise(one)
 
 
