@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.llm import oracle
 from folioscan.llm.decontaminate import decontaminate
@@ -47,7 +48,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_report(_table(spark, sf_dir, "documents")).drop("shards")
+    return mixing_report(_table(spark, sf_dir, "documents")).withColumn("shards", F.array_join("shards", ","))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
