@@ -290,6 +290,19 @@ def reference_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(checks.references(entries, _verdicts(spark, sf, entries)))
 
 
+def _stub_verdict(key: str) -> tuple[bool, str]:
+    """What a service says of an entry: every fifth is unknown to it."""
+    item = int(key.rpartition("/")[2]) if "/" in key else int(key.rpartition(".")[2]) - 10000
+    return item % 5 != 0, f"detail {item}"
+
+
+@query(f"WITH {o.BIB}, v AS ({o.duck(d.VERIFICATION_ROWS)}) SELECT DISTINCT target_kind, target_id, found AS exists, detail FROM v JOIN bib ON target_id = CASE WHEN eprint <> '' THEN eprint ELSE doi END")
+def asked_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The targets of all entries, asked of services that stand for the live ones."""
+    service = lookups.Service(_stub_verdict)
+    return lookups.verifying({"arxiv": service, "doi": service})(checks.verify_targets(_entries(spark, sf)))
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.relation(spark, sf, d.PAPER_HITS)
     return rows.select("query", F.col("hit_rank").alias("rank"), "title", F.array(F.lit("A"), F.lit("")).alias("authors"), "year", "abstract", "url", "arxiv", F.lit(None).cast("string").alias("doi"))

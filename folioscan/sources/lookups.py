@@ -1,26 +1,24 @@
 """Lookups behind table-shaped stages.
 
 A lookup is a function from a DataFrame of distinct questions to a DataFrame of answers, so a test or a batch job can put
-a table in its place. The live ones call the network from one partition, at the pace the services ask for, catch their
-own errors and answer every question, so a repeated task does no harm; write their answers before using them twice.
+a table in its place. The live ones ask services through asking.asked(): a task for each service and range of questions, at the
+pace the services ask for over all, with answers that are committed as they come.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import text as t
+from folioscan.sources.asking import Service, asked
 from folioscan.sources.files import is_file
 
 Lookup = Callable[[DataFrame], DataFrame]
@@ -33,7 +31,6 @@ SEARCH_PAUSE, ARXIV_PAUSE = 1.0, 3.1
 SEARCH_WAIT, ARXIV_WAIT, DOI_WAIT = 15.0, 15.0, 10.0
 HITS = 3
 
-_HITS = "query string, rank int, title string, authors array<string>, year string, abstract string, url string, arxiv string, doi string"
 
 
 def from_table(table: DataFrame) -> Lookup:
@@ -62,47 +59,31 @@ def _open(url: str, wait: float):
     return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "folioscan"}), timeout=wait)
 
 
-def _paced(call: Callable[[str], Any], pause: float) -> Callable[[str], Any]:
-    last = [0.0]
+def hits_of(reply: dict) -> list[dict]:
+    """The raw hits in a reply of the search service, as texts."""
+    text = lambda v: None if v is None else str(v)
+    out = []
+    for rank, h in enumerate((reply.get("data") or [])[:HITS]):
+        ids = h.get("externalIds") or {}
+        authors = [a["name"] for a in h.get("authors") or [] if a.get("name")]
+        out.append({"rank": rank, "authors": authors, **{k: text(h.get(k)) for k in ("title", "year", "abstract", "url")}, "arxiv": ids.get("ArXiv"), "doi": ids.get("DOI")})
+    return out
 
-    def run(x: str) -> Any:
-        time.sleep(max(0.0, last[0] + pause - time.time()))
-        try:
-            return call(x)
-        finally:
-            last[0] = time.time()
 
-    return run
-
-
-def search_hits(get: Callable[[str], dict], titles: list[str]) -> pd.DataFrame:
-    """Rows of the raw hits for each title; a failing call gives none."""
-    rows = []
-    for title in titles:
-        try:
-            hits = get(title).get("data") or []
-        except Exception:  # any failure of the service is no answer
-            hits = []
-        for rank, h in enumerate(hits[:HITS]):
-            ids = h.get("externalIds") or {}
-            text = lambda k, h=h: None if h.get(k) is None else str(h[k])
-            rows.append((title, rank, text("title"), [a["name"] for a in h.get("authors") or [] if a.get("name")], text("year"), text("abstract"), text("url"), ids.get("ArXiv"), ids.get("DOI")))
-    return pd.DataFrame(rows, columns=["query", "rank", "title", "authors", "year", "abstract", "url", "arxiv", "doi"])
+def _search(title: str) -> list[dict]:
+    with _open(SEARCH.format(urllib.parse.quote(title)), SEARCH_WAIT) as r:
+        return hits_of(json.loads(r.read().decode()))
 
 
-def paper_search(titles: DataFrame) -> DataFrame:
-    """Live raw hits (query, rank, ...) for titles(query)."""
+def searching(name: str, service: Service, folder: str | None = None) -> Lookup:
+    """Raw hits (query, rank, ...) for titles(query) from a service that answers with a list of them; a failing call gives none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def get(title: str) -> dict:
-            with _open(SEARCH.format(urllib.parse.quote(title)), SEARCH_WAIT) as r:
-                return json.loads(r.read().decode())
+    def run(titles: DataFrame) -> DataFrame:
+        answers = asked(titles.select(F.lit(name).alias("service"), F.col("query").alias("key")), {name: service}, folder)
+        hits = F.from_json("answer", "array<struct<rank:int,title:string,authors:array<string>,year:string,abstract:string,url:string,arxiv:string,doi:string>>")
+        return answers.select(F.col("key").alias("query"), F.inline(hits))
 
-        get = _paced(get, SEARCH_PAUSE)
-        for batch in batches:
-            yield search_hits(get, batch["query"].tolist())
-
-    return titles.select("query").distinct().coalesce(1).mapInPandas(run, _HITS)
+    return run
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -125,27 +106,19 @@ def scholar_result(raw: dict) -> tuple[str, list[str], int | None, str, str | No
     return text(bib.get("title")), [text(a) for a in authors if text(a)], int(year[0]) if year else None, text(bib.get("abstract")), raw.get("pub_url") or raw.get("eprint_url")
 
 
-def scholar_search(titles: DataFrame) -> DataFrame:
-    """Live first hit per title from the scraping backend; needs the optional package scholarly."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from scholarly import scholarly
+def _scholar(query: str) -> list[dict]:
+    """The first hit of the scraping backend; needs the optional package scholarly."""
+    from scholarly import scholarly
 
-        for batch in batches:
-            rows = []
-            for query in batch["query"]:
-                try:
-                    first = next(iter(scholarly.search_pubs(query)), None)
-                except Exception:  # any failure of the service is no answer
-                    first = None
-                if first is not None:
-                    title, authors, year, abstract, url = scholar_result(first)
-                    rows.append((query, 0, title, authors, None if year is None else str(year), abstract, url, None, None))
-            yield pd.DataFrame(rows, columns=["query", "rank", "title", "authors", "year", "abstract", "url", "arxiv", "doi"])
-
-    return titles.select("query").distinct().coalesce(1).mapInPandas(run, _HITS)
+    first = next(iter(scholarly.search_pubs(query)), None)
+    if first is None:
+        return []
+    title, authors, year, abstract, url = scholar_result(first)
+    return [{"rank": 0, "title": title, "authors": authors, "year": None if year is None else str(year), "abstract": abstract, "url": url, "arxiv": None, "doi": None}]
 
 
+paper_search = searching("semantic-scholar", Service(_search, SEARCH_PAUSE))
+scholar_search = searching("google-scholar", Service(_scholar))
 BACKENDS: dict[str, Lookup] = {"semantic-scholar": paper_search, "google-scholar": scholar_search}
 
 
@@ -167,31 +140,29 @@ def arxiv_answer(body: str) -> tuple[bool, str]:
     return True, "(no title)" if title is None or title.text is None else title.text.strip()
 
 
-def verify(targets: DataFrame) -> DataFrame:
-    """Live (target_kind, target_id, exists, detail) for distinct targets; a failing call counts as not existing."""
+def _arxiv(x: str) -> tuple[bool, str]:
+    with _open(ARXIV.format(x), ARXIV_WAIT) as r:
+        return arxiv_answer(r.read().decode())
+
+
+def _doi(x: str) -> tuple[bool, str]:
+    with _open(DOI.format(x), DOI_WAIT) as r:
+        return True, r.url
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def arxiv(x: str) -> tuple[bool, str]:
-            with _open(ARXIV.format(x), ARXIV_WAIT) as r:
-                return arxiv_answer(r.read().decode())
 
-        def doi(x: str) -> tuple[bool, str]:
-            with _open(DOI.format(x), DOI_WAIT) as r:
-                return True, r.url
+def verifying(services: dict[str, Service], folder: str | None = None) -> Lookup:
+    """(target_kind, target_id, exists, detail) for targets, from services by kind that answer (exists, detail); a failing call counts as not existing."""
+
+    def run(targets: DataFrame) -> DataFrame:
+        answers = asked(targets.select(F.col("target_kind").alias("service"), F.col("target_id").alias("key")), services, folder)
+        pair = F.from_json("answer", "array<string>")
+        exists = F.coalesce(F.get(pair, F.lit(0)) == "true", F.lit(False))
+        return answers.select(F.col("service").alias("target_kind"), F.col("key").alias("target_id"), exists.alias("exists"), F.coalesce(F.get(pair, F.lit(1)), "error").alias("detail"))
+
+    return run
 
-        calls = {"arxiv": _paced(arxiv, ARXIV_PAUSE), "doi": doi}
-        for batch in batches:
-            rows = []
-            for kind, x in zip(batch["target_kind"], batch["target_id"]):
-                try:
-                    answer = calls[kind](x)
-                except Exception as e:
-                    answer = (False, str(e))
-                rows.append((kind, x, *answer))
-            yield pd.DataFrame(rows, columns=["target_kind", "target_id", "exists", "detail"])
 
-    distinct = targets.where("target_id IS NOT NULL").select("target_kind", "target_id").distinct()
-    return distinct.coalesce(1).mapInPandas(run, "target_kind string, target_id string, exists boolean, detail string")
+verify = verifying({"arxiv": Service(_arxiv, ARXIV_PAUSE), "doi": Service(_doi)})
 
 
 def verdicts(targets: DataFrame, lookup: Lookup = verify) -> DataFrame:

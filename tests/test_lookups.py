@@ -17,14 +17,14 @@ def test_best_hit(spark):
     assert got == {"Exact Title": ("exact title", ["B"], 2001, "abs", "10.1"), "first": ("F", ["A"], None, "", None)}
 
 
-def test_hits_of_replies():
+def test_hits_of_replies(spark):
     def get(title):
         if title == "fails":
             raise OSError
-        return {"data": [{"title": title, "authors": [{"name": "A"}, {"name": ""}], "year": 2000, "externalIds": {"DOI": "d"}}] * 5}
+        return lookups.hits_of({"data": [{"title": title, "authors": [{"name": "A"}, {"name": ""}], "year": 2000, "externalIds": {"DOI": "d"}}] * 5})
 
-    frame = lookups.search_hits(get, ["a", "fails"])
-    assert len(frame) == 3 and frame["authors"][0] == ["A"] and frame["doi"][0] == "d" and lookups.search_hits(lambda t: {}, ["x"]).empty
+    rows = lookups.searching("stub", lookups.Service(get))(spark.createDataFrame([("a",), ("fails",), ("a",), (None,)], "query string")).collect()
+    assert len(rows) == 3 and rows[0].authors == ["A"] and rows[0].doi == "d" and rows[0].year == "2000" and rows[0].query == "a" and lookups.hits_of({}) == []
 
 
 def test_scholar_result():
