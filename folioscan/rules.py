@@ -16,6 +16,15 @@ class Rule:
     message: str
 
 
+#: A row's number, its end, and white space behind it.
+_ROW_END = r"(?<!\d)\d++\s*+\\\\\s*+"
+_RULE = r"\\\\\s*+(?:bottomrule|hline)"
+#: Three rows of letters and numbers behind the head of a table; the third may be a rule. Gaps between the parts may hold anything. Taking the first of each part is
+#: always enough, as whatever follows a later one follows the first too, so no part is given back (atomic groups): a table is read once, however many rows it has.
+TABLE_ROWS = (
+    r"(?sU)\\begin\s*\{tabular\}\s*\{[^}]*+\}\s*+[A-Za-z](?>.*?&)(?>.*?" + _ROW_END + r"[A-Za-z])(?>.*?&)(?>.*?" + _ROW_END + "(?=[A-Za-z]|" + _RULE + "))"
+    r"(?:" + _RULE + r"|[A-Za-z](?>.*?&.*?\d+)|(?>.*?" + _ROW_END + _RULE + "))"
+)
 # The patterns decide what is found. (?iU): any case, Unicode classes; (?s): a dot is any character.
 RULES = (
     Rule("R01", "error", "meta_comments", r"(?iU)here\s+is\s+(?:a|an)\s+(?:\d{1,4}[-\s]?(?:word|paragraph|sentence|page)\s+)?(?:summary|overview|outline|description|explanation|analysis)", ("here",), "Assistant meta-comment announcing a summary or the like"),
@@ -37,7 +46,7 @@ RULES = (
     Rule("R17", "warning", "latex_artifacts", r"(?iU)\\blindtext(?:\s*\[\d+\])?", ("\\blindtext",), "Filler text left in: \\blindtext"),
     Rule("R18", "warning", "placeholder_data", r"(?iU)\bTODO\b\s*:?\s*(?:add|insert|write|fill|complete|update)", ("todo",), "Open TODO in the text"),
     Rule("R19", "warning", "placeholder_data", r"(?iU)\bFIXME\b", ("fixme",), "Open FIXME in the text"),
-    Rule("R20", "warning", "latex_artifacts", r"(?sU)\\begin\s*\{tabular\}\s*\{[^}]*\}\s*\n?\s*[A-Za-z].*?&.*?\d+\s*\\\\\s*\n?\s*[A-Za-z].*?&.*?\d+\s*\\\\\s*\n?\s*(?:[A-Za-z].*?&.*?\d+|\\\\\s*(?:bottomrule|hline|hline))", ("{tabular}",), "Table with a few plain rows: perhaps only an illustration"),
+    Rule("R20", "warning", "latex_artifacts", TABLE_ROWS, ("{tabular}",), "Table with a few plain rows: perhaps only an illustration"),
 )
 #: Fixed value: caption texts that are placeholders.
 PLACEHOLDER_CAPTION = r"(?iU)(?:placeholder|draft|template|add\s+caption|caption\s+(?:text|here|goes\s+here)|your\s+caption\s+(?:here|text)|insert\s+caption|todo\s*:?\s*add\s+caption|illustrative|sample\s+data|figure\s+\d+\s+about\s+here|table\s+\d+\s+about\s+here)"
