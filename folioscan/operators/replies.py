@@ -65,9 +65,14 @@ def _severity(v: Column, other: str) -> Column:
     return F.when(found.isin(*SEVERITIES), found).otherwise(F.lit(other))
 
 
-def answered(units: DataFrame, replies: DataFrame) -> DataFrame:
-    """Units joined with their replies by request_id. A unit without a reply has reply null and so no findings; count them with unanswered()."""
-    return units.join(replies.select("request_id", decoded(F.col("raw")).alias("reply")), "request_id", "left")
+def answered(units: DataFrame, replies: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Units with their reply, by request_id. The query fails if a unit that was asked (all, unless said otherwise) has no reply or more than one; a reply without content (raw null) is one."""
+    given = replies.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_replies"), F.first("raw").alias("raw"))
+    none = F.raise_error(F.concat(F.lit("no reply to request "), "request_id"))
+    several = F.raise_error(F.concat("n_replies", F.lit(" replies to request "), "request_id"))
+    missing = F.col("n_replies").isNull() & (F.lit(True) if asked is None else asked)
+    reply = F.when(missing, none).when(F.col("n_replies") > 1, several).otherwise(decoded(F.col("raw")))
+    return units.join(given, "request_id", "left").withColumn("reply", reply).drop("n_replies", "raw")
 
 
 def unanswered(requests: DataFrame, replies: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def judge_requests(units: DataFrame) -> DataFrame:
 
 def claim_findings(units: DataFrame, replies: DataFrame) -> DataFrame:
     """Claims that cannot be judged, and those that are not supported. A reply without a verdict counts as unclear."""
-    rows = answered(units, replies)
+    rows = answered(units, replies, F.col("state") == "ready")
     verdict = F.lower(t.strip(F.coalesce(_text(F.col("reply"), "verdict"), F.lit("unclear"))))
     why = t.strip(F.coalesce(_text(F.col("reply"), "rationale"), F.lit("")))
     rows = rows.where((F.col("state") != "ready") | (verdict != "supports"))

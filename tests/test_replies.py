@@ -71,3 +71,26 @@ def test_claims(spark):
     assert "No title in bib" in claims(spark, "{}", title="")[0][2]
     assert "Could not retrieve abstract" in claims(spark, "{}", hits=False)[0][2]
     assert "no abstract" in claims(spark, "{}", abstract="")[0][2]
+
+
+def test_each_request_has_one_reply(spark):
+    units = replies.grammar_units(para(spark, "The first line here is long enough"))
+    request = units.first().request_id
+    said = lambda *raw: spark.createDataFrame([(request, r) for r in raw], "request_id string, raw string")
+    assert findings(replies.grammar_findings(units, said('{"issues": [{"message": "m"}]}'))) == [("warning", 5, "m", None, None)]
+    assert findings(replies.grammar_findings(units, said(None))) == []
+    with pytest.raises(Exception, match="no reply to request grammar#d#0"):
+        replies.grammar_findings(units, said()).collect()
+    with pytest.raises(Exception, match="2 replies to request grammar#d#0"):
+        replies.grammar_findings(units, said("{}", "{}")).collect()
+
+
+def test_prompts(spark):
+    """What is sent, word for word."""
+    sections = spark.createDataFrame([("d", 0, "T", "text", 1, 2, "f"), ("d", 1, "", "x" * 12_001, 3, 4, "f"), ("d", 2, "E", " \n", 5, 6, "f")], "doc_path string, sec_idx int, title string, text string, start_line int, end_line int, file string")
+    sent = {r.request_id: (r.system, r.user) for r in replies.review_requests(replies.review_units(sections)).collect()}
+    assert sent == {"review#d#0": (replies.REVIEW, "Section title: T\n\ntext"), "review#d#1": (replies.REVIEW, "x" * 12_000 + replies.CUT_NOTE)}
+    units = replies.claim_units(para(spark, "It is so \\cite{b, a} and \\cite{b}."))
+    assert [(r.system, r.user) for r in replies.claim_requests(units).collect()] == [(replies.EXTRACT, "Cite keys present: a, b\n\nParagraph:\nIt is so \\cite{b, a} and \\cite{b}.")]
+    judged = spark.createDataFrame([("r", "c", "P", "A", "ready"), ("s", "c", None, None, "unknown")], "request_id string, claim string, paper_title string, abstract string, state string")
+    assert [tuple(r) for r in replies.judge_requests(judged).collect()] == [("r", replies.JUDGE, "Claim: c\n\nCited paper title: P\n\nAbstract: A")]
