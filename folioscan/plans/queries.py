@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from folioscan.functions import text as t
 from folioscan.operators import bib, checks, parse, replies, report
 from folioscan.plans import check as whole
 from folioscan.plans import oracle as o
+from folioscan.plans import own
 from folioscan.rules import RULES
 from folioscan.sources import derived as d
 from folioscan.sources import files, lookups
@@ -370,11 +372,44 @@ def _stored_replies(requests: DataFrame) -> DataFrame:
 @query(o.WHOLE)
 def whole_check(spark: SparkSession, sf: str) -> DataFrame:
     """All eight checks over all documents, with stored answers for the model, the references and the search."""
+    return _longs(_whole(spark, sf)[1].drop("suggestion"))
+
+
+def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, findings of all eight checks)"""
     docs = whole.parse_once(_docs(spark, sf))
     corpus = whole.Corpus(docs, _own_entries(spark, sf, docs), d.relation(spark, sf, d.IMAGE_FILES))
     known = lookups.from_table(d.relation(spark, sf, d.VERIFICATION_ROWS).withColumnRenamed("found", "exists"))
-    rows = whole.check(corpus, _stored_replies, known, lookups.from_table(_hits(spark, sf)), enable_claims=True)
-    return _longs(rows.drop("suggestion"))
+    return docs, whole.check(corpus, _stored_replies, known, lookups.from_table(_hits(spark, sf)), enable_claims=True)
+
+
+@query(f"""SELECT *, count(*) OVER (PARTITION BY doc_path) AS total, count(*) FILTER (severity = 'error') OVER (PARTITION BY doc_path) AS errors,
+  count(*) FILTER (severity = 'warning') OVER (PARTITION BY doc_path) AS warnings, count(*) FILTER (severity = 'info') OVER (PARTITION BY doc_path) AS infos FROM ({o.WHOLE}) w""")
+def whole_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON reports of all eight checks, read back field by field from their text."""
+    kind = "file string, total long, by_severity map<string,long>, findings array<struct<checker:string,severity:string,line:long,message:string,excerpt:string,file:string>>"
+    rows = report.report_json(*_whole(spark, sf)).select(F.from_json("json", kind).alias("j")).select("j.*").withColumnRenamed("file", "doc_path")
+    count = lambda s: F.coalesce(F.try_element_at("by_severity", F.lit(s)), F.lit(0)).cast("long")
+    rows = rows.select("doc_path", "total", count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"), F.posexplode("findings").alias("at", "f"))
+    return rows.select("doc_path", (F.col("at") + 1).cast("long").alias("seq"), "f.*", "total", "errors", "warnings", "infos")
+
+
+@own.row_check("closings")
+def _closings(doc_path: str, source: str):
+    """A check of one's own: lines that say that they close."""
+    for n, line in enumerate(source.split("\n"), 1):
+        if "closing" in line:
+            yield "info", n, f"Line of {len(line)} characters closes.", None, line
+
+
+@query(f"""WITH {o.TEX}, {o.LINES} SELECT doc_path, 'closings' AS checker, 'info' AS severity, combined_line AS line, 'Line of ' || CAST(length(text) AS VARCHAR) || ' characters closes.' AS message, text AS excerpt, CAST(NULL AS VARCHAR) AS file
+FROM lines WHERE contains(text, 'closing')""")
+def own_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A check of one's own as a table function in SQL."""
+    view = f"docs_{uuid.uuid4().hex}"
+    _docs(spark, sf).createOrReplaceTempView(view)
+    spark.udtf.register("closings", _closings)
+    return _plain(spark.sql(f"SELECT * FROM closings(TABLE({view}) PARTITION BY doc_path)"))
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
