@@ -13,6 +13,7 @@ from folioscan import __version__
 from folioscan.operators import checks, parse, replies, report
 from folioscan.plans.check import check, load
 from folioscan.sources import files, lookups
+from folioscan.sources.tables import written
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -44,14 +45,14 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
         print("no .tex files found", file=sys.stderr)
         return 1
     model = None if a.skip_grammar and a.skip_reviewer and not a.enable_claims else replies.server_model(a.base_url, a.model, max(1, a.concurrency))
-    found = check(corpus, model, lookups.verify, a.retrieval, a.skip_grammar, a.skip_reviewer, a.enable_claims).persist()  # so that nothing is asked twice
+    found = written(check(corpus, model, lookups.verify, a.retrieval, a.skip_grammar, a.skip_reviewer, a.enable_claims))  # so that nothing is asked twice
     if not a.bib:
         for r in checks.missing_bib_files(corpus.docs, corpus.files).where("not found").orderBy("doc_path", "res_idx").toLocalIterator():
             print(f"warning: {r.doc_path} names a bibliography file that is not there: {r.path}", file=sys.stderr)
-    for r in corpus.docs.join(corpus.entries, "doc_path", "left_anti").orderBy("doc_path").toLocalIterator():
+    for r in corpus.docs.join(corpus.members, "doc_path", "left_anti").orderBy("doc_path").toLocalIterator():
         print(f"warning: {r.doc_path} has no bibliography entries, so its citations cannot be checked in full", file=sys.stderr)
     if not a.json:
-        for r in report.run_stats(corpus.docs, parse.paragraphs(corpus.docs), corpus.entries).orderBy("doc_path").toLocalIterator():
+        for r in report.run_stats(corpus.docs, parse.paragraphs(corpus.docs), corpus.entries, corpus.members).orderBy("doc_path").toLocalIterator():
             print(f"{r.doc_path}: {r.n_paragraphs} paragraph(s), {r.n_entries} bibliography entries from {r.n_bib_files} file(s)")
     shown = report.report_json(corpus.docs, found).orderBy("doc_path").select("json") if a.json else report.report_lines(corpus.docs, found).orderBy("doc_path", "line_no").select("text")
     for r in shown.toLocalIterator():

@@ -143,7 +143,10 @@ def missing_bib_files(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def missing_citations(cites: DataFrame, entries: DataFrame) -> DataFrame:
-    rows = cites.join(entries.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti")
+    return _missing(cites.join(entries.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti"))
+
+
+def _missing(rows: DataFrame) -> DataFrame:
     message = F.concat(F.lit("Cited key '"), "key", F.lit("' not found in the bibliography."))
     return finding(rows, "citations", "error", "line", message, [0, "cite_idx", 0], excerpt=F.concat(F.lit("\\cite{"), "key", F.lit("}")))
 
@@ -155,7 +158,10 @@ def _ranked(entries: DataFrame) -> DataFrame:
 
 
 def unused_entries(cites: DataFrame, entries: DataFrame) -> DataFrame:
-    rows = _ranked(entries).where("n = 1").join(cites.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti")
+    return _unused(_ranked(entries).where("n = 1").join(cites.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti"))
+
+
+def _unused(rows: DataFrame) -> DataFrame:
     return finding(rows, "citations", "info", "line", F.concat(F.lit("Unused bibliography entry '"), "key", F.lit("'.")), [1, "bib_idx", 0], file=F.col("file"))
 
 
@@ -164,6 +170,30 @@ def duplicate_entries(entries: DataFrame) -> DataFrame:
     return finding(_ranked(entries).where("n > 1"), "citations", "warning", "line", message, [1, "first.bib_idx", "n"], file=F.col("file"))
 
 
+#: Parts that the documents of one collection are dealt to where its rows meet them.
+MEMBER_PARTS = 32
+
+
+def for_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of collections as rows of their documents: doc_path is that of a collection before, and of each of its members(doc_path, collection) after.
+
+    A collection may be that of all documents, so its members are dealt to parts, and its rows, which are far fewer, go to each part.
+    """
+    by = F.pmod(F.xxhash64("doc_path"), F.lit(MEMBER_PARTS)).cast("int")
+    dealt = members.select(F.col("collection").alias("of"), by.alias("part"), F.col("doc_path").alias("member"))
+    copied = rows.withColumnRenamed("doc_path", "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))))
+    return copied.join(dealt, ["of", "part"]).withColumnRenamed("member", "doc_path").select(rows.columns)
+
+
+def shared_citations(docs: DataFrame, entries: DataFrame, members: DataFrame) -> DataFrame:
+    """citations() where documents share collections of entries: doc_path of entries is a collection. Keys are ranked and looked for once per collection; rows per document are findings only."""
+    cites = parse.citations(docs)
+    keys = entries.select(F.col("doc_path").alias("collection"), "key").distinct()
+    missing = cites.join(members, "doc_path", "left").join(keys, ["collection", "key"], "left_anti")
+    unused = for_members(_ranked(entries).where("n = 1").select("doc_path", "bib_idx", "key", "file", "line"), members).join(cites.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti")
+    return _missing(missing).unionByName(_unused(unused)).unionByName(for_members(duplicate_entries(entries), members))
+
+
 def citations(docs: DataFrame, entries: DataFrame) -> DataFrame:
     cites = parse.citations(docs)
     return missing_citations(cites, entries).unionByName(unused_entries(cites, entries)).unionByName(duplicate_entries(entries))

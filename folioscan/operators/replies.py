@@ -141,10 +141,12 @@ def claims(units: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.select("doc_path", "para_idx", "claim_idx", "start_line", "file", t.strip(F.col("claim")).alias("claim"), F.posexplode(keys).alias("key_idx", "key"))
 
 
-def claim_titles(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """Claims with the title of their key's last definition: title null for an unknown key."""
+def claim_titles(found: DataFrame, entries: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Claims with the title of their key's last definition: title null for an unknown key. members: see checks.for_members()."""
     last = last_by_key(entries).select("doc_path", "key", "title")
-    return found.join(last, ["doc_path", "key"], "left")
+    if members is None:
+        return found.join(last, ["doc_path", "key"], "left")
+    return found.join(members, "doc_path", "left").join(last.withColumnRenamed("doc_path", "collection"), ["collection", "key"], "left").drop("collection")
 
 
 def paper_questions(titled: DataFrame) -> DataFrame:

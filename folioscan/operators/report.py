@@ -58,9 +58,10 @@ def report_json(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return rows.select("doc_path", F.to_json(F.struct(F.col("doc_path").alias("file"), F.size("findings").cast("long").alias("total"), by.alias("by_severity"), "findings")).alias("json"))
 
 
-def run_stats(docs: DataFrame, paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_path, n_paragraphs, n_entries, n_bib_files) for every document."""
+def run_stats(docs: DataFrame, paragraphs: DataFrame, entries: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(doc_path, n_paragraphs, n_entries, n_bib_files) for every document. members: see checks.for_members()."""
     p = paragraphs.groupBy("doc_path").agg(F.count("*").alias("np"))
     e = entries.groupBy("doc_path").agg(F.count("*").alias("ne"), F.countDistinct("file").alias("nf"))
+    e = e if members is None else members.join(e.withColumnRenamed("doc_path", "collection"), "collection")
     rows = docs.select("doc_path").join(p, "doc_path", "left").join(e, "doc_path", "left")
     return rows.select("doc_path", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("np", "n_paragraphs"), ("ne", "n_entries"), ("nf", "n_bib_files"))])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.operators import bib, checks, parse, replies, report
 from folioscan.sources import files as f
@@ -16,11 +17,19 @@ from folioscan.sources.tables import written
 
 @dataclass
 class Corpus:
-    """docs(doc_path, source; line_runs, where sources are expanded), bibliography entries, and a listing files(path)."""
+    """docs(doc_path, source; line_runs, where sources are expanded), bibliography entries, and a listing files(path).
+
+    Without members, doc_path of an entry is its document. With members(doc_path, collection) it is the collection that documents share.
+    """
 
     docs: DataFrame
     entries: DataFrame
     files: DataFrame
+    members: DataFrame | None = None
+
+    def own_entries(self) -> DataFrame:
+        """The entries of each document: a row for each document that shares them."""
+        return self.entries if self.members is None else checks.for_members(self.entries, self.members)
 
 
 #: A check of one's own: a function from a corpus to findings with the columns checks.FINDING.
@@ -44,21 +53,33 @@ def load(spark: SparkSession, folder: str, roots: DataFrame | None = None, bib_p
     docs = parse_once(f.joined_sources(f.expand_includes(sources, roots), roots))
     bibs = bib.bib_file_entries(f.read_texts(spark, bib_paths or folder + "/**", ".bib"))
     if bib_paths:
-        entries = docs.select("doc_path").crossJoin(bibs)  # every document is checked against all the files given
+        members = docs.select("doc_path", F.lit("given").alias("collection"))  # every document is checked against all the files given
+        entries = bibs.withColumn("doc_path", F.lit("given"))
     else:
-        named = checks.missing_bib_files(docs, listing).where("found").select("doc_path", "res_idx", "path").withColumnRenamed("path", "file")
-        entries = named.join(bibs, "file").selectExpr("doc_path", "CAST(res_idx AS bigint) * 1000000000000 + bib_idx AS bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi")
+        # Documents that name the same files in the same order share a collection.
+        named = checks.missing_bib_files(docs, listing).where("found").groupBy("doc_path").agg(F.array_sort(F.collect_list(F.struct("res_idx", "path"))).alias("named"))
+        named = written(named.withColumn("collection", F.array_join(F.transform("named", lambda n: F.concat(n["res_idx"].cast("string"), F.lit(":"), n["path"])), "|")))
+        members = named.select("doc_path", "collection")
+        of_files = named.dropDuplicates(["collection"]).select("collection", F.inline("named"))
+        entries = of_files.withColumnRenamed("path", "file").join(bibs, "file").withColumn("bib_idx", F.col("res_idx").cast("bigint") * 10**12 + F.col("bib_idx")).withColumnRenamed("collection", "doc_path")
     columns = ["doc_path", "bib_idx", "key", "entry_type", "file", "line", "title", "author", "eprint", "doi"]
-    entries = bib.with_fallback(entries.select(columns), parse.inline_bibitems(docs).select(columns))
-    return Corpus(docs, entries, listing)
+    entries = written(entries.select(columns))
+    # Documents whose collection has no entries have those inside them, as a collection of their own.
+    members = members.join(entries.select(F.col("doc_path").alias("collection")).distinct(), "collection", "left_semi").select("doc_path", "collection")
+    inline = parse.inline_bibitems(docs).select(columns).join(members, "doc_path", "left_anti")
+    own = inline.select("doc_path", F.concat(F.lit("own|"), "doc_path").alias("collection")).distinct()
+    inline = inline.withColumn("doc_path", F.concat(F.lit("own|"), "doc_path"))
+    return Corpus(docs, written(entries.unionByName(inline)), listing, written(members.unionByName(own)))
 
 
 def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lookup | None = None, search: lookups.Lookup | str = "semantic-scholar", skip_grammar: bool = False, skip_reviewer: bool = False, enable_claims: bool = False, extra: Sequence[Checker] = ()) -> DataFrame:
     """The findings of all documents. Without a model no language model is asked, without verify no reference is looked up. extra adds checks of one's own."""
-    docs, entries = parse_once(corpus.docs), corpus.entries
-    parts = [checks.artifacts(docs), checks.figures(docs), checks.images(docs, corpus.files), checks.citations(docs, entries)]
+    docs, entries, members = parse_once(corpus.docs), corpus.entries, corpus.members
+    cited = checks.citations(docs, entries) if members is None else checks.shared_citations(docs, entries, members)
+    parts = [checks.artifacts(docs), checks.figures(docs), checks.images(docs, corpus.files), cited]
     if verify is not None:
-        parts.append(checks.references(entries, lookups.verdicts(checks.verify_targets(entries), verify)))
+        unknown = checks.references(entries, lookups.verdicts(checks.verify_targets(entries), verify))
+        parts.append(unknown if members is None else checks.for_members(unknown, members))
     if model is not None:
         paras = parse.paragraphs(docs)
         if not skip_grammar:
@@ -70,7 +91,7 @@ def check(corpus: Corpus, model: replies.Model | None = None, verify: lookups.Lo
         if enable_claims:
             units = replies.claim_units(paras)
             # Written: what the model has answered is read for the search, for the judge and for the findings.
-            titled = written(replies.claim_titles(replies.claims(units, model(replies.claim_requests(units))), entries))
+            titled = written(replies.claim_titles(replies.claims(units, model(replies.claim_requests(units))), entries, members))
             units = written(replies.judge_units(titled, lookups.papers(replies.paper_questions(titled), search)))
             parts.append(replies.claim_findings(units, model(replies.judge_requests(units))))
     parts += [own(corpus) for own in extra]
