@@ -93,6 +93,7 @@ def orphan_labels(floats: DataFrame, refs: DataFrame) -> DataFrame:
 def near_empty_floats(floats: DataFrame) -> DataFrame:
     """Floats without an image, a table, a drawing or an input, and with fewer than two words outside commands."""
     content = F.col("content")
+    # Fixed value: what counts as content.
     solid = content.rlike(r"\\includegraphics|\\begin\{(?:tabular|tabularx|tabulary|longtable|array|tikzpicture|pgfpicture|asy|pspicture)\}|(?U)(?:\\lstinputlisting|\\input|\\import)\s*\{")
     rest = t.strip(F.regexp_replace(content, t.COMMAND, ""))
     few = F.size(F.filter(F.split(rest, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")) < 2

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+from folioscan.functions.text import COMMAND
+from folioscan.operators.parse import CITE
 from folioscan.rules import PLACEHOLDER_CAPTION, RULES
 from folioscan.sources import derived as d
 
-COMMAND = r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?"
-CITE = r"\\(?:no|paren|text|auto|foot)?cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]+)\}"
-
-
 def duck(sql: str) -> str:
     return sql
 
