@@ -15,7 +15,7 @@ from folioscan.plans import oracle as o
 from folioscan.plans import own
 from folioscan.rules import RULES
 from folioscan.sources import derived as d
-from folioscan.sources import files, lookups
+from folioscan.sources import files, lookups, reports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,6 +394,18 @@ def whole_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_path", (F.col("at") + 1).cast("long").alias("seq"), "f.*", "total", "errors", "warnings", "infos")
 
 
+@query(f"""WITH all_findings AS ({o.WHOLE}), {o.TEX} SELECT tex.doc_path, count(f.seq) AS total, count(f.seq) FILTER (f.severity = 'error') AS errors,
+  sha256(coalesce(string_agg(concat_ws('|', f.checker, f.severity, f.line, f.message, coalesce(f.excerpt, '-'), coalesce(f.file, '-')), chr(10) ORDER BY f.seq), '')) AS findings_sha256 FROM tex LEFT JOIN all_findings f USING (doc_path) GROUP BY tex.doc_path""")
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports of all documents over all eight checks, written as files and read back."""
+    folder = tables.folder(spark)
+    reports.write_reports(*_whole(spark, sf), folder)
+    rows = reports.read_reports(spark, folder)
+    text = F.transform("findings", lambda f: F.concat_ws("|", f["checker"], f["severity"], f["line"].cast("string"), f["message"], F.coalesce(f["excerpt"], F.lit("-")), F.coalesce(f["file"], F.lit("-"))))
+    errors = F.coalesce(F.try_element_at("by_severity", F.lit("error")), F.lit(0)).cast("long")
+    return rows.select(F.col("file").alias("doc_path"), "total", errors.alias("errors"), F.sha2(F.array_join(text, "\n"), 256).alias("findings_sha256"))
+
+
 @own.row_check("closings")
 def _closings(doc_path: str, source: str):
     """A check of one's own: lines that say that they close."""
