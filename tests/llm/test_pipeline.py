@@ -32,5 +32,5 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
 
 def test_every_operator_has_its_query():
     names = list(q.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(q.oracle_sql()) <= set(names)
