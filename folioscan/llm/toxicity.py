@@ -2,9 +2,11 @@
 
 The field tags every word of a text as toxic or not. Labels are given for documents, so word labels for training come
 from them: a word of a toxic training document is toxic if one of its features (the word, its first 3 to 6 bytes, its
-last 3) stands in toxic training documents far more often than chance allows, and hardly in others. Forward-backward gives each word's marginal
-probability; a document's score is a calibrated function of its largest marginal and of their sum, and runs of words
-with a marginal over one half are its offending spans.
+last 3) stands in toxic training documents far more often than chance allows, and hardly in others. The clearest features
+are marked first; the next are sought in the toxic documents that hold none of those, so that what merely stands beside a
+toxic word is not taken for one. Forward-backward gives each word's marginal probability; a document's score is a
+calibrated function of its largest marginal and of their sum, and runs of words with a marginal over one half are its
+offending spans. The calibration is fitted on all training documents, each marked by a field that did not learn from it.
 
 Training takes at most ROWS documents of each label and about MAX_BYTES of text, on the driver: parameters of the
 operator. Scoring reads every whole text in one pass without a shuffle; the model's size is fixed (2**BITS weights).
@@ -19,7 +21,6 @@ No usable labels: every score is the share of toxic labels. Repeated rows: each
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,13 @@ MAX_BYTES = 24 << 20
 BITS = 18
 SEGMENT = 64
 STEPS = 25
-#: A feature marks words as toxic if so large a share of its places is in toxic documents (were half of all words in such),
-#: and if that is so unlikely to be chance (in nats).
-LEAST_SHARE, LEAST_SURPRISE = 0.85, 11.0
+#: A feature marks words as toxic if so large a share of its places is in toxic documents (were half of all words in such).
+LEAST_SHARE = 0.95
+#: And if chance would give less than one such feature: its surprise in nats is the log of the number of features, or this
+#: many times that for the first ones, which are judged on all toxic documents. Later rounds take what reaches half of the most.
+FIRST, LATER = 1.5, 0.5
+#: Fields fitted for the calibration, each on all parts of the sample but one.
+FOLDS = 2
 THRESHOLD = 0.3
 
 
@@ -194,37 +199,44 @@ class Field:
 def word_labels(chains: Chains, at: np.ndarray, word_of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0/1 for each word of the training texts, from the labels of whole texts. at[w]: the features of word number w.
 
-    A feature's support is the number of different pairs of neighbours it stands between, so copies of a text count once.
+    A feature's support is the number of different pairs of neighbours it stands between (told apart by a 64-bit hash), so
+    copies of a text count once.
     """
-    n = len(word_of)
-    around = np.zeros(n, np.int64)
-    around[1:] += (word_of[:-1] + 1) * 1_000_003
-    around[:-1] += word_of[1:] + 1
-    held = np.unique(np.stack([word_of, around, (toxic[chains.doc] > 0).astype(np.int64)], 1), axis=0)
-    clean, bad = (np.bincount(at[held[held[:, 2] == y, 0]].ravel(), minlength=2**BITS).astype(float) for y in (0, 1))
-    share, base = bad / np.maximum(1, bad + clean), max(1e-9, float((held[:, 2] == 1).mean()))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        surprise = (bad + clean) * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-    even = share * (1 - base) / np.maximum(1e-12, share * (1 - base) + (1 - share) * base)
-    marks = (even >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE)
-    return (marks[at].any(1)[word_of] & (toxic[chains.doc] > 0)).astype(np.float32)
-
-
-def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
-    """Fits the field on three quarters of the texts, and the calibration of document scores on the others."""
+    bad = toxic[chains.doc] > 0
+    around = word_of * 0x1E3779B97F4A7C15 + bad
+    around[1:] += (word_of[:-1] + 1) * 0x3F58476D1CE4E5B9
+    around[:-1] += (word_of[1:] + 1) * 0x14D049BB133111EB
+    once = np.zeros(len(word_of), bool)
+    once[np.unique(around, return_index=True)[1]] = True
+
+    def support(places: np.ndarray) -> np.ndarray:
+        by_word = np.bincount(word_of[places], minlength=len(at))
+        return np.bincount(at.ravel(), np.repeat(by_word, 6), 2**BITS)
+
+    clean, n_clean = support(once & ~bad), int((once & ~bad).sum())
+    least = np.log(max(2, np.count_nonzero(clean + support(once & bad))))
+    marks, unexplained, first = np.zeros(2**BITS, bool), toxic > 0, True
+    while (left := once & bad & unexplained[chains.doc]).any():
+        held = support(left)
+        share, base = held / np.maximum(1, held + clean), left.sum() / (left.sum() + n_clean)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            surprise = (held + clean) * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
+        even = share * (1 - base) / np.maximum(1e-12, share * (1 - base) + (1 - share) * base)
+        surprise[(even < LEAST_SHARE) | marks] = 0
+        fresh = surprise >= (FIRST * least if first else max(least, LATER * surprise.max()))
+        if not first and not fresh.any():
+            break
+        marks, first = marks | fresh, False
+        unexplained[chains.doc[marks[at].any(1)[word_of]]] = False
+    return (marks[at].any(1)[word_of] & bad).astype(np.float32)
+
+
+def train(texts: list[bytes], toxic: np.ndarray, numbers: dict[bytes, int], at: np.ndarray) -> Field:
+    """A field without calibration. numbers: a number for each word; at: the features of each number."""
     field = Field()
-    if not len(texts) or toxic.min() == toxic.max():
-        field.calibration = logistic(np.zeros((len(texts), 2)), toxic, share)
-        return field
-    turn = np.zeros(len(texts), bool)
-    for y in (0, 1):
-        turn[np.flatnonzero(toxic == y)[::4]] = True  # every fourth of each class
-    own, other = np.flatnonzero(~turn), np.flatnonzero(turn)
-    chains = Chains([texts[i] for i in own])
-    numbers: dict[bytes, int] = {}
-    word_of = np.array([numbers.setdefault(w, len(numbers)) for w in chains.words], np.int64)
-    at = np.array([features(w) for w in numbers], np.int64).reshape(-1, 6)
-    labels = word_labels(chains, at, word_of, toxic[own])
+    chains = Chains(texts)
+    word_of = np.fromiter(map(numbers.__getitem__, chains.words), np.int64, len(chains.words))
+    labels = word_labels(chains, at, word_of, toxic)
     grid = np.zeros(chains.shape, np.int8)
     grid[chains.place] = labels
     pairs = np.zeros((2, 2))
@@ -234,18 +246,17 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
     cut = chains.first[~chains.opens]  # the first words of segments that go on a chain
     pairs += np.bincount(2 * labels[cut - 1].astype(np.int64) + labels[cut].astype(np.int64), minlength=4).reshape(2, 2)
     first = np.bincount(labels[chains.first[chains.opens]].astype(np.int64), minlength=2).astype(float)
-    flat, held = at.ravel(), Counter(chains.words)
-    held = np.array([held[w] for w in numbers], np.float32)
+    flat = at.ravel()
     weights = np.zeros(2**BITS)
     weights[:] = -0.5
     trans, start = np.log((pairs + 1) / (pairs + 1).sum(1, keepdims=True)), np.log((first + 1) / (first + 1).sum())
     # Steps of Adagrad on the likelihood of the word labels with a small penalty on squares.
     squares, squares_t = np.full(2**BITS, 1e-6), np.full((2, 2), 1e-6)
-    true_words = np.bincount(word_of, labels, len(numbers))
+    true_words = np.bincount(word_of, labels, len(at))
     for _ in range(STEPS):
         e = np.exp(np.clip(weights[at].sum(1), -12, 12)).astype(np.float32)
         marginal, expected, _ = chains.marginals(e[word_of], np.exp(trans), np.exp(start))
-        by_word = true_words - np.bincount(word_of, marginal, len(numbers))
+        by_word = true_words - np.bincount(word_of, marginal, len(at))
         g = np.bincount(flat, np.repeat(by_word, 6), 2**BITS) - 0.05 * weights
         squares += g * g
         weights += 0.5 * g / np.sqrt(squares)
@@ -253,8 +264,31 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
         squares_t += g * g
         trans += 0.1 * g / np.sqrt(squares_t)
     field.weights, field.trans, field.start = weights.astype(np.float32), trans, start
-    chains, marginal = field.mark([texts[i] for i in other])
-    field.calibration = logistic(evidence(chains, marginal, len(other)), toxic[other], share)
+    return field
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
+    """Fits the field on all texts, and the calibration on what fields fitted on the other parts say of each part."""
+    field = Field()
+    if not len(texts) or toxic.min() == toxic.max():
+        field.calibration = logistic(np.zeros((len(texts), 2)), toxic, share)
+        return field
+    part = np.zeros(len(texts), np.int64)
+    for y in (0, 1):
+        own = np.flatnonzero(toxic == y)
+        part[own] = np.arange(len(own)) % FOLDS
+    numbers: dict[bytes, int] = {}
+    for t in texts:
+        for w in t.translate(WORDS_TABLE).split():
+            numbers.setdefault(w, len(numbers))
+    at = np.array([features(w) for w in numbers], np.int64).reshape(-1, 6)
+    seen = np.zeros((len(texts), 2))
+    for k in range(FOLDS):
+        own, other = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        chains, marginal = train([texts[i] for i in own], toxic[own], numbers, at).mark([texts[i] for i in other])
+        seen[other] = evidence(chains, marginal, len(other))
+    field = train(texts, toxic, numbers, at)
+    field.calibration = logistic(seen, toxic, share)
     return field
 
 
