@@ -285,8 +285,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
     seen = np.zeros((len(texts), 2))
     for k in range(FOLDS):
         own, other = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        chains, marginal = train([texts[i] for i in own], toxic[own], numbers, at).mark([texts[i] for i in other])
-        seen[other] = evidence(chains, marginal, len(other))
+        fitted = train([texts[i] for i in own], toxic[own], numbers, at)
+        seen[other] = evidence(*fitted.mark([texts[i] for i in other]), len(other))  # nothing is kept of the part's chains
     field = train(texts, toxic, numbers, at)
     field.calibration = logistic(seen, toxic, share)
     return field
