@@ -54,19 +54,19 @@ def features(word: bytes) -> list[int]:
 
 
 class Chains:
-    """The words of some texts as chains, one per line, in segments of up to SEGMENT words."""
+    """The words of some texts as chains, one per line, in segments of up to SEGMENT words; words are kept if wanted."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], words: bool = True):
         data = b"\n".join(texts)
         plain = data.translate(WORDS_TABLE)
-        self.words = plain.split()
+        self.words = plain.split() if words else []
         raw, inside = np.frombuffer(data, np.uint8), np.frombuffer(plain, np.uint8) != 32
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.text_start = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         self.doc = np.searchsorted(self.text_start, self.start, "right") - 1
         line = np.searchsorted(np.flatnonzero(raw == 10), self.start)
-        n = len(self.words)
+        n = len(self.start)
         new = np.ones(n, bool)
         new[1:] = line[1:] != line[:-1]
         heads = np.flatnonzero(new)
@@ -231,11 +231,10 @@ def word_labels(chains: Chains, at: np.ndarray, word_of: np.ndarray, toxic: np.n
     return (marks[at].any(1)[word_of] & bad).astype(np.float32)
 
 
-def train(texts: list[bytes], toxic: np.ndarray, numbers: dict[bytes, int], at: np.ndarray) -> Field:
-    """A field without calibration. numbers: a number for each word; at: the features of each number."""
+def train(texts: list[bytes], toxic: np.ndarray, words: list[np.ndarray], at: np.ndarray) -> Field:
+    """A field without calibration. words: the numbers of each text's words; at: the features of each number."""
     field = Field()
-    chains = Chains(texts)
-    word_of = np.fromiter(map(numbers.__getitem__, chains.words), np.int64, len(chains.words))
+    chains, word_of = Chains(texts, words=False), np.concatenate(words or [np.empty(0)]).astype(np.int64)
     labels = word_labels(chains, at, word_of, toxic)
     grid = np.zeros(chains.shape, np.int8)
     grid[chains.place] = labels
@@ -278,16 +277,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
         own = np.flatnonzero(toxic == y)
         part[own] = np.arange(len(own)) % FOLDS
     numbers: dict[bytes, int] = {}
-    for t in texts:
-        for w in t.translate(WORDS_TABLE).split():
-            numbers.setdefault(w, len(numbers))
+    words = [np.array([numbers.setdefault(w, len(numbers)) for w in t.translate(WORDS_TABLE).split()], np.int32) for t in texts]
     at = np.array([features(w) for w in numbers], np.int64).reshape(-1, 6)
     seen = np.zeros((len(texts), 2))
     for k in range(FOLDS):
         own, other = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        fitted = train([texts[i] for i in own], toxic[own], numbers, at)
+        fitted = train([texts[i] for i in own], toxic[own], [words[i] for i in own], at)
         seen[other] = evidence(*fitted.mark([texts[i] for i in other]), len(other))  # nothing is kept of the part's chains
-    field = train(texts, toxic, numbers, at)
+    field = train(texts, toxic, words, at)
     field.calibration = logistic(seen, toxic, share)
     return field
 
