@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +38,12 @@ def within(sizes: list[tuple[int, int]], max_bytes: int) -> list[bool]:
     return taken
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: tuple[int, int], max_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
-    """(texts, 0/1 labels, share of 1 among all usable labels).
+def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: tuple[int, int], max_bytes: int) -> tuple[DataFrame, float]:
+    """(y, place, doc_id, text) of a bounded sample, and the share of 1 among all usable labels.
 
     At most rows[y] texts with label y, the first in the order of a hash of their id, and at most about max_bytes of text
     in all, of which each class has its own part: see within(). Rows whose label is neither 0 nor 1 are not used. Equal
-    texts of one class are taken once.
+    texts of one class may stand on several rows: taken once, in the order of place, doc_id and text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -51,11 +56,35 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     sizes = held.groupBy("y", "sha").agg(F.first("bytes").alias("bytes"), F.min(F.struct("place", "doc_id", "sha")).alias("at")).orderBy("at", "y").collect()
     picked = [(r["y"], r["sha"]) for r, t in zip(sizes, within([(r["y"], r["bytes"]) for r in sizes], max_bytes)) if t]
     wanted = held.sparkSession.createDataFrame(picked, "y int, sha string")
-    texts: dict[tuple[int, bytes], None] = {}
-    for r in held.join(F.broadcast(wanted), ["y", "sha"]).orderBy("place", "doc_id", "text").toLocalIterator():
-        texts[r["y"], bytes(r["text"])] = None
-    y = np.array([k[0] for k in texts], np.float64)
-    return [k[1] for k in texts], y, counts.get(1, 0) / max(1, sum(counts.values()))
+    taken = held.join(F.broadcast(wanted), ["y", "sha"]).select("y", "place", "doc_id", "text")
+    return taken, counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def distinct_texts(rows: Iterable[tuple[int, bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """(texts, 0/1 labels) from (y, text) in order, equal texts of one class once."""
+    once = dict.fromkeys((y, bytes(text)) for y, text in rows)
+    return [text for _, text in once], np.array([y for y, _ in once], np.float64)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: tuple[int, int], max_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
+    """(texts, 0/1 labels, share) of sampled(), on the driver."""
+    taken, share = sampled(docs, labels, label, usable, rows, max_bytes)
+    ordered = taken.orderBy("place", "doc_id", "text").select("y", "text")
+    return *distinct_texts((r["y"], r["text"]) for r in ordered.toLocalIterator()), share
+
+
+def fitted_in_task(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: tuple[int, int], max_bytes: int, fit: Callable[[list[bytes], np.ndarray, float], Any]) -> Any:
+    """fit(texts, labels, share) of sampled(), run in one task, which the sample's bound allows: the driver sees only the model, and a lost executor repeats the fit."""
+    taken, share = sampled(docs, labels, label, usable, rows, max_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (pair for b in batches for pair in zip(b.column("y").to_pylist(), b.column("text").to_pylist()))
+        model = fit(*distinct_texts(pairs), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    ordered = taken.repartition(1).sortWithinPartitions("place", "doc_id", "text").select("y", "text")
+    model = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(model["model"]) if model else fit([], np.empty(0), share)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -> np.ndarray:

@@ -8,8 +8,8 @@ toxic word is not taken for one. Forward-backward gives each word's marginal pro
 calibrated function of its largest marginal and of their sum, and runs of words with a marginal over one half are its
 offending spans. The calibration is fitted on all training documents, each marked by a field that did not learn from it.
 
-Training takes at most ROWS documents of each label and about MAX_BYTES of text, on the driver: parameters of the
-operator. Scoring reads every whole text in one pass without a shuffle; the model's size is fixed (2**BITS weights).
+Training takes at most ROWS documents of each label and about MAX_BYTES of text, in one task: parameters of the operator.
+The driver sees the fitted model only. Scoring reads every whole text in one pass without a shuffle; the model's size is fixed (2**BITS weights).
 A chain is a line of any length. Long ones are worked on in segments of SEGMENT words at once: each segment's factors are
 multiplied into one matrix, messages go from segment to segment through these, and then all segments are done together
 with the messages at their ends, which gives the same marginals as the whole chain.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import WORDS_TABLE, chunks, doc_rows
-from folioscan.llm.labelled import fold, logistic, probability, sample
+from folioscan.llm.labelled import fitted_in_task, fold, logistic, probability
 
 #: Training documents labelled 0 and 1.
 ROWS = (3600, 1200)
@@ -291,7 +291,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Field:
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: tuple[int, int] = ROWS, max_bytes: int = MAX_BYTES) -> Field:
     """A field fitted on a bounded sample of the labelled documents; usable selects labels by doc_id."""
-    return fit(*sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows, max_bytes))
+    return fitted_in_task(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows, max_bytes, fit)
 
 
 def spans_of(chains: Chains, marginal: np.ndarray, texts: list[bytes]) -> list[str]:
