@@ -16,6 +16,7 @@ from folioscan.plans import own
 from folioscan.rules import RULES
 from folioscan.sources import derived as d
 from folioscan.sources import files, lookups, reports, tables
+from folioscan.streaming import bibliographies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,3 +486,21 @@ def citation_consistency(spark: SparkSession, sf: str) -> DataFrame:
     cites = _all(_cites(spark, sf))
     parts = checks.missing_citations(cites, entries).unionByName(checks.unused_entries(cites, entries)).unionByName(checks.duplicate_entries(entries))
     return _longs(parts.drop("ord"))
+
+
+@query(f"""WITH tex AS ({d.NAMING_DOCS}), {o.CITES}, {o.RESOURCES}, {o.BIB_HEADERS}, {o.INLINE},
+of_files AS (SELECT doc_path, res_idx * 1000000000000 + bib_idx AS place, key, file, line FROM resources JOIN headers ON file = CASE WHEN suffix(name, '.bib') THEN name ELSE name || '.bib' END),
+entries AS (SELECT * FROM of_files UNION ALL SELECT doc_path, bib_idx, key, doc_path, line FROM inline_items WHERE doc_path NOT IN (SELECT doc_path FROM of_files)),
+ranked AS (SELECT *, row_number() OVER w AS n, first_value(file) OVER w AS first_file, first_value(line) OVER w AS first_line FROM entries WINDOW w AS (PARTITION BY doc_path, key ORDER BY place))
+SELECT doc_path, 'citations' AS checker, 'error' AS severity, line, 'Cited key ''' || key || ''' not found in the bibliography.' AS message, chr(92) || 'cite{{' || key || '}}' AS excerpt, CAST(NULL AS VARCHAR) AS file FROM cites WHERE (doc_path, key) NOT IN (SELECT doc_path, key FROM entries)
+UNION ALL SELECT doc_path, 'citations', 'info', line, 'Unused bibliography entry ''' || key || '''.', NULL, file FROM ranked WHERE n = 1 AND (doc_path, key) NOT IN (SELECT doc_path, key FROM cites)
+UNION ALL SELECT doc_path, 'citations', 'warning', line, 'Duplicate bibliography key ''' || key || ''' (first defined at ' || first_file || ':' || CAST(first_line AS VARCHAR) || ').', NULL, file FROM ranked WHERE n > 1""")
+def watched_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """The check of citations by streams: documents and bibliographies arrive a few files at a time."""
+    arrived, out = tables.folder(spark), tables.folder(spark)
+    d.relation(spark, sf, d.NAMING_DOCS).select(F.col("doc_path").alias("path"), "source").write.parquet(f"{arrived}/tex")
+    d.relation(spark, sf, d.BIB_FILES).write.parquet(f"{arrived}/bib")
+    streams = [spark.readStream.schema("path string, source string").option("maxFilesPerTrigger", n).parquet(f"{arrived}/{kind}") for kind, n in (("tex", 8), ("bib", 1))]
+    done = bibliographies.watch_citations(*streams, f"{out}/found", f"{out}/progress", once=True)
+    done.awaitTermination()
+    return _plain(bibliographies.findings_now(spark, f"{out}/found"))

@@ -96,6 +96,11 @@ BIB_FILES = """SELECT concat('b', CAST(item_id AS STRING), '.bib') AS path,
     '  year = 2001', chr(10), '}', chr(10), '@book{next', CAST(item_id % 7 AS STRING), ', title = "Next"}', chr(10)) AS source
 FROM benchmark"""
 
+_NUMBER = "CAST(regexp_extract(doc_path, '[0-9]+', 0) AS BIGINT)"
+#: The documents, each of which names two of these files at its end.
+NAMING_DOCS = f"""SELECT doc_path, concat(source, chr(92), 'bibliography{{b', CAST({_NUMBER} % 43 AS STRING), ', b', CAST(({_NUMBER} * 3) % 41 AS STRING), '}}', chr(10)) AS source
+FROM ({TEX_DOCS}) t"""
+
 VERIFICATION_ROWS = """SELECT CASE WHEN item_id % 3 = 0 THEN 'arxiv' ELSE 'doi' END AS target_kind,
   CASE WHEN item_id % 3 = 0 THEN concat('2401.', CAST(10000 + item_id AS STRING)) ELSE concat('10.1000/', CAST(item_id AS STRING)) END AS target_id,
   item_id % 5 <> 0 AS found, concat('detail ', CAST(item_id AS STRING)) AS detail
