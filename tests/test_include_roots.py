@@ -44,3 +44,11 @@ def test_every_page_is_expanded(spark, tmp_path):
     assert sorted(text) == sorted(r[:3] for r in rows)
     origin = [tuple(r) for r in q.QUERIES["line_origin"](spark, str(tmp_path)).collect()]
     assert sorted(origin) == sorted((r[0], r[1], r[3], r[4]) for r in rows)
+
+
+def test_back_to_the_first_page(spark, tmp_path):
+    """Below page 12 all of the first page is expanded, with the places that its lines have."""
+    spark.createDataFrame([(i,) for i in range(14)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = q.QUERIES["line_origin"](spark, str(tmp_path)).where("doc_path = 'p12.tex'").collect()
+    assert sorted(tuple(r) for r in rows) == sorted((r[0], r[1], r[3], r[4]) for r in brute(14) if r[0] == "p12.tex")
+    assert {"p0.tex", "p2.tex", "p5.tex"} <= {r.origin_file for r in rows}
