@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space when text is stripped.
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+#: From the first to the last character that is no white space; the middle is taken whole and given back from the end, so it is read once.
+STRIPPED = rf"(?s)\A[{_SPACE}]*+(.*[^{_SPACE}])"
+NOT_BLANK = f"[^{_SPACE}]"
 #: What ends a line.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The ends of lines that are no simple one.
+OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 COMMENT = r"(?<!\\)%[^\n]*"
 COMMAND = r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?"
 #: Numbers that running() sums in one go.
 RUN = 128
+#: Characters in which words are looked for first.
+PROSE_HEAD = 200
 BEGIN, END, BIBLIOGRAPHY = r"\begin{document}", r"\end{document}", r"\begin{thebibliography}"
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    return F.regexp_extract(c, STRIPPED, 1)
+
+
+def is_filled(c: Column) -> Column:
+    """Whether anything but white space stands in a text."""
+    return c.rlike(NOT_BLANK)
 
 
 def filled(c: Column) -> Column:
@@ -29,17 +42,17 @@ def filled(c: Column) -> Column:
 
 def strip_comments(c: Column) -> Column:
     """Drops from each unescaped percent sign to the end of its line; the line end stays."""
-    return F.regexp_replace(c, COMMENT, "")
+    return F.when(F.contains(c, F.lit("%")), F.regexp_replace(c, COMMENT, "")).otherwise(c)
 
 
 def newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at the end begins no further line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.when(c.rlike(OTHER_LINE_END), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def body_offset(source: Column) -> Column:
@@ -51,15 +64,12 @@ def body_offset(source: Column) -> Column:
 
 def body(source: Column, offset: Column) -> Column:
     """From the offset to the end mark or the bibliography, whichever comes first; the whole text without a begin mark."""
-    rest = F.substring(source, offset + 1, F.length(source))
-    cut = lambda mark: F.when(F.instr(rest, mark) > 0, F.instr(rest, mark) - 1)
-    end = F.least(F.coalesce(cut(END), F.length(rest)), F.coalesce(cut(BIBLIOGRAPHY), F.length(rest)))
-    return F.when(F.instr(source, BEGIN) == 0, source).otherwise(F.substring(rest, F.lit(1), end))
+    rest = F.substring(source, offset + 1, F.lit(2**31 - 1))
+    return F.when(F.contains(source, F.lit(BEGIN)), F.substring_index(F.substring_index(rest, END, 1), BIBLIOGRAPHY, 1)).otherwise(source)
 
 
 def preamble(source: Column) -> Column:
-    at = F.instr(source, BEGIN)
-    return F.when(at == 0, "").otherwise(F.substring(source, F.lit(1), at - 1))
+    return F.when(F.contains(source, F.lit(BEGIN)), F.substring_index(source, BEGIN, 1)).otherwise("")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -139,4 +149,7 @@ def words(c: Column) -> Column:
 
 
 def has_prose(c: Column, least: int = 3) -> Column:
-    return words(c) >= least
+    """Whether there are so many words. A beginning without commands that has them is enough, so most texts are not read to their end."""
+    head = F.substring(c, F.lit(1), F.lit(PROSE_HEAD))
+    early = ~F.contains(head, F.lit("\\")) & (F.regexp_count(head, F.lit("[A-Za-z]{3,}")) >= least)
+    return F.when(early, True).otherwise(words(c) >= least)

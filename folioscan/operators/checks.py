@@ -5,6 +5,8 @@ ord orders the findings of one checker within a document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,10 @@ def finding(rows: DataFrame, checker: str, severity: str | Column, line: str | C
     return rows.select("doc_path", F.lit(checker).alias("checker"), severity.alias("severity"), line.cast("int").alias("line"), message.alias("message"), text(suggestion).alias("suggestion"), text(excerpt).alias("excerpt"), text(file).alias("file"), ordinal.alias("ord"))
 
 
+def _holds(column: str, texts: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(F.col(column), F.lit(x)) for x in texts], F.lit(False))
+
+
 def _rule_matches(column: str, low: str, rules: tuple[Rule, ...]) -> Column:
     """Every match of every rule in a text column as an array, rule by rule; low is the text in lower case.
 
@@ -34,9 +40,7 @@ def _rule_matches(column: str, low: str, rules: tuple[Rule, ...]) -> Column:
     """
     found = []
     for rule in rules:
-        guard = F.lit(False)
-        for g in rule.guards:
-            guard = guard | F.contains(F.col(low), F.lit(g))
+        guard = _holds(low, rule.guards) & _holds(low, rule.also) if rule.also else _holds(low, rule.guards)
         about = F.struct(F.lit(RULES.index(rule) if rule in RULES else len(RULES) + rules.index(rule)).alias("rule_idx"), *[F.lit(v).alias(n) for n, v in (("severity", rule.severity), ("category", rule.category), ("message", rule.message))])
         found.append(F.when(guard, F.struct(about.alias("rule"), t.pieces(F.col(column), rule.pattern).alias("parts"))))
     # The patterns are done with; one expression places the matches of all rules.
@@ -179,23 +183,27 @@ def duplicate_entries(entries: DataFrame) -> DataFrame:
 MEMBER_PARTS = 32
 
 
-def for_members(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows of collections as rows of their documents: doc_path is that of a collection before, and of each of its members(doc_path, collection) after.
+def for_members(rows: DataFrame, members: DataFrame, *kept: str) -> DataFrame:
+    """Rows of collections as rows of their documents: doc_path is that of a collection before, and of each of its members(doc_path, collection) after. kept: columns of members that are added.
 
     A collection may be that of all documents, so its members are dealt to parts, and its rows, which are far fewer, go to each part.
     """
     by = F.pmod(F.xxhash64("doc_path"), F.lit(MEMBER_PARTS)).cast("int")
-    dealt = members.select(F.col("collection").alias("of"), by.alias("part"), F.col("doc_path").alias("member"))
+    dealt = members.select(F.col("collection").alias("of"), by.alias("part"), F.col("doc_path").alias("member"), *kept)
     copied = rows.withColumnRenamed("doc_path", "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))))
-    return copied.join(dealt, ["of", "part"]).withColumnRenamed("member", "doc_path").select(rows.columns)
+    return copied.join(dealt, ["of", "part"]).withColumnRenamed("member", "doc_path").select(*rows.columns, *kept)
 
 
 def shared_citations(docs: DataFrame, entries: DataFrame, members: DataFrame) -> DataFrame:
-    """citations() where documents share collections of entries: doc_path of entries is a collection. Keys are ranked and looked for once per collection; rows per document are findings only."""
+    """citations() where documents share collections of entries: doc_path of entries is a collection. Keys are ranked and looked for once per collection; rows per document are findings only.
+
+    A member brings the keys that it cites along, so its entries, which are most of the findings, are not shuffled to be told apart.
+    """
     cites = parse.citations(docs)
     keys = entries.select(F.col("doc_path").alias("collection"), "key").distinct()
     missing = cites.join(members, "doc_path", "left").join(keys, ["collection", "key"], "left_anti")
-    unused = for_members(_ranked(entries).where("n = 1").select("doc_path", "bib_idx", "key", "file", "line"), members).join(cites.select("doc_path", "key").distinct(), ["doc_path", "key"], "left_anti")
+    cited = members.join(cites.groupBy("doc_path").agg(F.collect_set("key").alias("cited")), "doc_path", "left")
+    unused = for_members(_ranked(entries).where("n = 1").select("doc_path", "bib_idx", "key", "file", "line"), cited, "cited").where(~F.array_contains(F.coalesce("cited", F.array().cast("array<string>")), F.col("key")))
     return _missing(missing).unionByName(_unused(unused)).unionByName(for_members(duplicate_entries(entries), members))
 
 

@@ -116,7 +116,8 @@ def citations(docs: DataFrame) -> DataFrame:
 
 def cite_keys(c: Column) -> Column:
     """The cited keys of a text as an array."""
-    return F.flatten(F.transform(F.regexp_extract_all(t.strip_comments(c), F.lit(CITE), F.lit(1)), _keys))
+    found = F.flatten(F.transform(F.regexp_extract_all(t.strip_comments(c), F.lit(CITE), F.lit(1)), _keys))
+    return F.when(F.contains(c, F.lit("cite")), found).otherwise(F.when(c.isNotNull(), F.array().cast("array<string>")))
 
 
 def bib_resources(docs: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ _STEPS: dict[str, Callable[[], Column]] = {
     "p_body": lambda: t.body(F.col("p_source"), F.col("p_offset")),
     "p_text": lambda: t.strip_comments(F.col("p_body")),
     "p_lines": lambda: t.lines(F.col("p_text")),
-    "p_full": lambda: F.transform("p_lines", lambda s: t.strip(s) != ""),
+    "p_full": lambda: F.transform("p_lines", t.is_filled),
     "p_sections": lambda: _matches("p_text", "\\section", SECTION, 1),
     "p_cites": lambda: _matches("p_plain", "cite", CITE, 1),
     "p_floats": lambda: _matches("p_source", "\\begin{", FLOAT, 1, 2),
