@@ -139,15 +139,15 @@ def images(docs: DataFrame, files: DataFrame) -> DataFrame:
     return finding(rows, "images", "error", "line", F.concat(F.lit("Image file not found: '"), "raw_path", F.lit("'")), ["img_idx"], advice, F.substring("raw_path", 1, 80))
 
 
-def bib_path() -> Column:
+def bib_path(name: Column) -> Column:
     """Where a bibliography that doc_path names as name is."""
     folder = F.regexp_extract("doc_path", r"^(.*/)?[^/]*$", 1)
-    return F.concat(folder, F.when(F.endswith(F.col("name"), F.lit(".bib")), F.col("name")).otherwise(F.concat("name", F.lit(".bib"))))
+    return F.concat(folder, F.when(F.endswith(name, F.lit(".bib")), name).otherwise(F.concat(name, F.lit(".bib"))))
 
 
 def missing_bib_files(docs: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_path, res_idx, name, path, found): each bibliography a document names, and whether files(path) has it."""
-    rows = parse.bib_resources(docs).withColumn("path", bib_path())
+    rows = parse.bib_resources(docs).withColumn("path", bib_path(F.col("name")))
     return rows.join(files.select("path", F.lit(True).alias("there")).distinct(), "path", "left").select("doc_path", "res_idx", "name", "path", F.coalesce("there", F.lit(False)).alias("found"))
 
 

@@ -60,3 +60,31 @@ def test_a_document_sent_again_is_checked_as_sent_last(spark, tmp_path):
         assert watch_citations(*streams, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
         seen.append({(r.doc_path, r.message.split("'")[1], r.severity) for r in findings_now(spark, str(tmp_path / "out")).collect()})
     assert seen == [{("/p/a.tex", "x", "error")}, {("/p/a.tex", "u", "info")}, {("/p/a.tex", "y", "error")}, {("/p/a.tex", "u2", "info")}]
+
+
+def test_state_follows_the_lists_and_not_the_documents(spark, tmp_path):
+    def state_rows(n):
+        folder = tmp_path / f"{n}"
+        spark.createDataFrame([(f"/p/{i}.tex", "\\cite{x} \\bibliography{one,two}") for i in range(n)], "path string, source string").write.parquet(str(folder / "tex"))
+        spark.createDataFrame([("/p/one.bib", "@misc{x, title = {X}}\n@misc{u, title = {U}}")], "path string, source string").write.parquet(str(folder / "bib"))
+        streams = (spark.readStream.schema("path string, source string").parquet(str(folder / kind)) for kind in ("tex", "bib"))
+        query = watch_citations(*streams, str(folder / "out"), str(folder / "cp"), once=True)
+        assert query.awaitTermination(120)
+        assert findings_now(spark, str(folder / "out")).where("severity = 'info'").count() == n
+        return sum(o.numRowsTotal for o in query.recentProgress[-1].stateOperators)
+
+    assert state_rows(60) == state_rows(6)
+
+
+def test_a_list_that_comes_last_has_the_version_that_was_sent_last(spark, tmp_path):
+    def send(kind, number, path, source):
+        spark.createDataFrame([(path, source)], "path string, source string").write.parquet(str(tmp_path / kind / f"{number}"))
+        for other in ("tex", "bib"):
+            (tmp_path / other).mkdir(exist_ok=True)
+        streams = (spark.readStream.schema("path string, source string").option("recursiveFileLookup", "true").parquet(str(tmp_path / k)) for k in ("tex", "bib"))
+        assert watch_citations(*streams, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+
+    send("bib", 0, "/p/one.bib", "@misc{z, title = {former}}")
+    send("bib", 1, "/p/one.bib", "@misc{a, title = {latter}}")
+    send("tex", 0, "/p/a.tex", "\\cite{none} \\bibliography{one}")
+    assert [(r.severity, r.message.split("'")[1]) for r in findings_now(spark, str(tmp_path / "out")).orderBy("seq").collect()] == [("error", "none"), ("info", "a")]
