@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ STRIPPED = rf"(?s)\A[{_SPACE}]*+(.*[^{_SPACE}])"
 NOT_BLANK = f"[^{_SPACE}]"
 #: What ends a line.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-#: The ends of lines that are no simple one.
-OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The ends of lines that are no simple one.
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 COMMENT = r"(?<!\\)%[^\n]*"
 COMMAND = r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?"
 #: Numbers that running() sums in one go.
@@ -51,7 +52,8 @@ def newlines(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at the end begins no further line."""
-    parts = F.when(c.rlike(OTHER_LINE_END), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
+    other = reduce(Column.__or__, [F.contains(c, F.lit(x)) for x in OTHER_LINE_ENDS])
+    parts = F.when(other, F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 

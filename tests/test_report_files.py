@@ -1,6 +1,7 @@
 """Reports as files: every field comes back, findings in order, and only committed files count."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,29 @@ def test_many_findings_of_one_document(spark, tmp_path):
     assert total == n and in_order
 
 
+def test_python_sees_blocks(spark, tmp_path, monkeypatch):
+    """Rows that reach Python are blocks of findings, so their number does not follow that of the findings."""
+
+    class Counting(reports.Reports):
+        def writer(self, schema, overwrite):
+            class Counted(reports.Writer):
+                def write(self, iterator):
+                    rows = list(iterator)
+                    (tmp_path / f"{uuid.uuid4().hex}.count").write_text(str(len(rows)))
+                    return super().write(iter(rows))
+
+            return Counted(self.options["path"])
+
+    monkeypatch.setattr(reports, "Reports", Counting)
+    none = [F.lit(None).cast("string").alias(c) for c in ("suggestion", "excerpt", "file")]
+    rows = spark.range(20_000).select(F.concat(F.lit("d"), F.col("id") % 10).alias("doc_path"), (F.floor(F.col("id") / 10) + 1).alias("seq"), F.lit("c").alias("checker"), F.lit("info").alias("severity"), F.col("id").cast("int").alias("line"), F.lit("m").alias("message"), *none)
+    folder = f"file://{tmp_path}/blocks"
+    reports.write_reports(rows.select("doc_path").distinct(), rows, folder)
+    assert sum(int(p.read_text()) for p in tmp_path.glob("*.count")) == 10 * (1 + 2_000 // 100)
+    got = reports.read_reports(spark, folder).select("file", "total", F.transform("findings", lambda f: f["line"]).alias("lines")).collect()
+    assert all(r.total == 2_000 and r.lines == list(range(int(r.file[1:]), 20_000, 10)) for r in got) and len(got) == 10
+
+
 def test_writer_holds_one_row(tmp_path):
     """The writer takes from a stream and never looks back."""
     from pyspark.sql import Row
