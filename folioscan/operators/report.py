@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscan.sources.tables import growing
+
 #: Fixed value: the order in which checks report.
 CHECKERS = ("artifacts", "figures", "images", "citations", "references", "grammar", "reviewer", "claims")
 
@@ -24,7 +26,7 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 def exit_status(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_path, n_findings, has_error) for every document."""
     counts = findings.groupBy("doc_path").agg(F.count("*").alias("n"), F.bool_or(F.col("severity") == "error").alias("e"))
-    return docs.select("doc_path").join(counts, "doc_path", "left").select("doc_path", F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("e", F.lit(False)).alias("has_error"))
+    return docs.select("doc_path").join(growing(counts), "doc_path", "left").select("doc_path", F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("e", F.lit(False)).alias("has_error"))
 
 
 def ordered_report(findings: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def report_lines(docs: DataFrame, findings: DataFrame) -> DataFrame:
     shown = F.array_compact(F.array(head, F.when(F.col("excerpt").isNotNull(), F.concat(F.lit("    > "), "excerpt")), F.when(F.col("suggestion").isNotNull(), F.concat(F.lit("    suggest: "), "suggestion"))))
     parts = ordered_report(findings).select("doc_path", F.struct("place", shown.alias("shown")).alias("part"))
     grouped = parts.groupBy("doc_path").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    rows = docs.select("doc_path").join(grouped, "doc_path", "left")
+    rows = docs.select("doc_path").join(growing(grouped), "doc_path", "left")
     full = F.concat(F.flatten(F.transform("parts", lambda p: p["shown"])), F.array(F.lit(""), F.concat(F.size("parts").cast("string"), F.lit(" issue(s)"))))
     none = F.array(F.concat("doc_path", F.lit(": no issues found")))
     return rows.select("doc_path", F.posexplode(F.when(F.col("parts").isNotNull(), full).otherwise(none)).alias("line_no", "text"))
@@ -52,7 +54,7 @@ def report_json(docs: DataFrame, findings: DataFrame) -> DataFrame:
     grouped = findings.groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["f"]).alias("findings"))
     levels = F.array_distinct(F.transform("findings", lambda f: f["severity"]))
     by = F.map_from_entries(F.transform(levels, lambda s: F.struct(s, F.size(F.filter("findings", lambda f: f["severity"] == s)).cast("long"))))
-    rows = docs.select("doc_path").join(grouped, "doc_path", "left")
+    rows = docs.select("doc_path").join(growing(grouped), "doc_path", "left")
     kind = "array<struct<checker:string,severity:string,line:int,message:string,suggestion:string,excerpt:string,file:string>>"
     rows = rows.withColumn("findings", F.coalesce("findings", F.array().cast(kind)))
     return rows.select("doc_path", F.to_json(F.struct(F.col("doc_path").alias("file"), F.size("findings").cast("long").alias("total"), by.alias("by_severity"), "findings")).alias("json"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from folioscan.sources.tables import written
+from folioscan.sources.tables import growing, written
 
 LIST = "_committed.json"
 #: Findings of a document that reach a writer as one row.
@@ -87,7 +87,7 @@ def write_reports(docs: DataFrame, findings: DataFrame, folder: str) -> None:
     blocks = written(rows.select("doc_path", "at", "severities", F.array_join(F.col("fs.text"), ",").alias("text")))  # counted first, then written out
     counts = blocks.select("doc_path", F.explode("severities").alias("severity")).groupBy("doc_path", "severity").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("doc_path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("by_severity"), F.sum("n").alias("total"))
-    heads = docs.select("doc_path").distinct().join(counts, "doc_path", "left")
+    heads = docs.select("doc_path").distinct().join(growing(counts), "doc_path", "left")
     head = F.struct(F.col("doc_path").alias("file"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("by_severity", F.create_map().cast("map<string,long>")).alias("by_severity"))
     rows = heads.select("doc_path", F.lit(0).cast("long").alias("at"), F.to_json(head).alias("text")).unionByName(blocks.select("doc_path", "at", "text"))
     docs.sparkSession.dataSource.register(Reports)

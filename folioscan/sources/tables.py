@@ -25,6 +25,14 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/folioscan-{uuid.uuid4().hex}"
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """The side of a join whose rows grow with the documents: both sides are shuffled, so it never goes through the driver.
+
+    Spark takes the size of a written table from its files, and that of an exploded one from what is exploded; the rows can be a hundred times as large, and would be broadcast.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """The rows of df from a table in the shared folder: its plan ends there, later reads are of single columns, and a lost executor costs no recomputation."""
     path = folder(df.sparkSession)
