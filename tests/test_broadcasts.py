@@ -30,7 +30,7 @@ def broadcast_rows(spark, run):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["whole_check", "whole_report"])
+@pytest.mark.parametrize("name", ["whole_check", "whole_report", "report_files"])
 def test_broadcasts_do_not_grow(spark, tmp_path, name):
     """Four times the documents, and no larger broadcast."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
